@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import duplicates, encode, syntax, tokens
+from loomspark.llm import duplicates, encode, leaks, subjects, syntax, tokens
 from loomspark.sources.tables import table
 
 
@@ -54,7 +54,21 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("doc_id", (F.col("a") == F.col("b")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p6_ids, p6_roundtrip)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "task")).select("doc_id", "task_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked task with its documents, longest run and how much of its solution any of them holds."""
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "task"), table(spark, folder, "solution"))
+    return found.groupBy("task_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("run_words"), F.round(F.max("answer_share"), 6).alias("answer_share"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_area"), table(spark, folder, "subject_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
 
 #: SQL for those that SQL expresses on whole tables.
 ORACLES: dict[str, str] = {}
