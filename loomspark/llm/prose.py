@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FENCED = re.compile(r"(`{3,}|~{3,}).*?(?:\1|\Z)", re.S)
+_TICKED = re.compile(r"`[^`\n]*`")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 #: Common function words, as far as no other of these languages writes them alike.
@@ -19,6 +20,15 @@ _COMMON = {
 COMMON = {w: lang for lang, words in _COMMON.items() for w in words}
 
 
+def text_outside(text: str) -> str:
+    """The text without fenced blocks and without code in backticks; a block left open goes to the end."""
+    if "~~~" in text:
+        text = FENCED.sub(" ", text)
+    elif "```" in text:
+        text = " ".join(text.split("```")[::2])
+    return _TICKED.sub(" ", text) if "`" in text else text
+
+
 def language(text: str | None, least: int = 2) -> str | None:
     """en, de, es or zh by script and function words; None where fewer than `least` signs are found or two tie.
 
@@ -26,9 +36,8 @@ def language(text: str | None, least: int = 2) -> str | None:
     """
     if not text:
         return None
-    prose = FENCED.sub(" ", text)
-    prose = re.sub(r"`[^`\n]*`", " ", prose)
-    han = len(_HAN.findall(prose))
+    prose = text_outside(text)
+    han = 0 if prose.isascii() else len(_HAN.findall(prose))
     votes: dict[str, int] = {}
     letters = 0
     for w in _WORD.findall(prose.lower()):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import duplicates, encode, leaks, subjects, syntax, tokens
+from loomspark.llm import cuts, duplicates, encode, leaks, pairs, subjects, syntax, tokens
 from loomspark.sources.tables import table
 
 
@@ -42,6 +42,19 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.invalid_rates(records, syntax.invalid_ids(records))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_values(table(spark, folder, "repair_result")).select("repair_id", "field")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "repair_result")
+    return cuts.cut_rates(records, cuts.cut_values(records))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "repair_result"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_text(table(spark, folder, "documents"))
 
@@ -68,7 +81,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_area"), table(spark, folder, "subject_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p4_found, p4_rates, p5_found, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
 
 #: SQL for those that SQL expresses on whole tables.
 ORACLES: dict[str, str] = {}
