@@ -37,6 +37,7 @@ GROUPS = ("fenced", "bare", "py", "json")
 LOW, HIGH, STEP, MIDDLE = -0.3, 2.1, 0.3, 0.9
 
 _MARK = re.compile(r"\s*(?:\[(?:\.{3}|…|cut|truncated|snip)\]|<(?:cut|truncated|snip)>|\((?:\.{3}|…|cut|truncated|snip)\)|\.{3}|…|�+)\s*\Z")
+LONGEST_MARK = 16
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _HEX = re.compile(rb"[0a-f]{16,}")  # digests read alike, once their digits are zeros
 _FENCE = re.compile(r"^[ \t>]*(`{3,}|~{3,})", re.M)
@@ -48,7 +49,7 @@ def unmarked(text: str) -> tuple[str, bool]:
     """The text without white space at its end and without marks that a cut left; whether there was one."""
     text = text.rstrip()
     marked = False
-    while found := _MARK.search(text):
+    while found := _MARK.search(text, max(0, len(text) - LONGEST_MARK)):
         text, marked = text[: found.start()].rstrip(), True
     return text, marked
 
