@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.prose import slug
+from loomspark.session import cut
 
 CODE, SINGLE, DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE = range(5)
 STATES = (CODE, SINGLE, DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE)
@@ -355,7 +356,7 @@ def _short(records: DataFrame) -> DataFrame:
 def _long(records: DataFrame) -> DataFrame:
     """The path over partitions: blocks are summarised where they lie, the summaries reduced in order, then each
     block knows its start and gives its statements to be parsed."""
-    rows = _read(records, True)
+    rows = cut(_read(records, True))  # few if any: they are read from the table once
 
     def whole_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
