@@ -65,8 +65,8 @@ def _tidy(facts: DataFrame) -> DataFrame:
 def _distinct(facts: DataFrame) -> DataFrame:
     """One row for each repair_id; rows without one stay rows of their own."""
     rest = [c for c in facts.columns if c != "repair_id"]
-    whole = facts.where("repair_id IS NOT NULL").groupBy("repair_id").agg(F.min(F.struct(*rest)).alias("x")).select("repair_id", "x.*")
-    return whole.unionByName(facts.where("repair_id IS NULL").select("repair_id", *rest))
+    own = F.when(F.col("repair_id").isNull(), F.monotonically_increasing_id()).alias("row")
+    return facts.select("*", own).groupBy("repair_id", "row").agg(F.min(F.struct(*rest)).alias("x")).select("repair_id", "x.*")
 
 
 def counted(records: DataFrame, known: DataFrame | None = None, fields: Sequence[str] = FIELDS, vocabulary: str = BYTE_BPE_50K) -> tuple[DataFrame, DataFrame]:
