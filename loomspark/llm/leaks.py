@@ -112,9 +112,9 @@ class Index:
         for first, end in spans:
             for start in range(first, end - run + 1, run):
                 window = w[start : min(start + 2 * run, end)]
-                for item in self.search(set(window)):
-                    if any(" ".join(window[s : s + run]) in self.runs[item] for s in range(len(window) - run + 1)):
-                        retrieved.add(item)
+                if items := self.search(set(window)):
+                    said = {" ".join(window[s : s + run]) for s in range(len(window) - run + 1)}
+                    retrieved.update(i for i in items if not said.isdisjoint(self.runs[i]))
         if not retrieved:
             return []
         longest = {i: self._stretch(w, spans, i) for i in retrieved}

@@ -83,5 +83,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p4_found, p4_rates, p5_found, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
 
+_W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
 #: SQL for those that SQL expresses on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p7_found": f"""
+WITH t AS (SELECT task_id, {_W.format('requirement')} AS w FROM task),
+ tg AS (SELECT DISTINCT task_id, array_to_string(w[i:i + 14], ' ') AS g FROM (SELECT task_id, w, unnest(range(1, len(w) - 13)) AS i FROM t WHERE len(w) >= 15)),
+ d AS (SELECT doc_id, {_W.format('text')} AS w FROM documents),
+ dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d WHERE len(w) >= 15))
+SELECT DISTINCT doc_id, task_id FROM dg JOIN tg USING (g)""",
+}
