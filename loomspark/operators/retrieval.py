@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block: a block of vectors of 64 numbers has 2 MB at most.
 BLOCK = 4096
+#: Text queries scored at once; their weights are a matrix of terms by queries.
+QUERIES = 256
 K1, B = 1.2, 0.75
 
 
@@ -98,39 +100,48 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(held_terms), "term", "left_semi").groupBy("term").count()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     idf = {r[0]: math.log(1 + (n - r[1] + 0.5) / (r[1] + 0.5)) for r in df.collect()}  # no more rows than query terms
-    postings: dict[str, list] = {}
+    by_query: dict[str, list] = {}
     for q, t in wanted.collect():
         if t in idf:
-            postings.setdefault(t, []).append(q)
-    held = spark.sparkContext.broadcast((postings, idf))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import heapq
-        from collections import Counter, defaultdict
-
-        postings, idf = held.value
-        heaps: dict = defaultdict(list)
-        for batch in batches:
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                score: dict = defaultdict(float)
-                norm = K1 * (1 - B + B * len(words) / avgdl)
-                for t, tf in Counter(words).items():
-                    if t in postings:
-                        w = idf[t] * tf * (K1 + 1) / (tf + norm)
-                        for q in postings[t]:
-                            score[q] += w
-                for q, s in score.items():
-                    item = (round(s, 6), -doc)
-                    heap = heaps[q]
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        rows = [(q, -d, s) for q, heap in heaps.items() for s, d in heap]
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-    return top(docs.mapInArrow(run, "query_id string, doc_id long, score double"), ["query_id"], F.col("score"), "doc_id", k)
+            by_query.setdefault(q, []).append(t)
+    names = sorted(by_query)
+    found = None
+    for at in range(0, max(1, len(names)), QUERIES):
+        held = spark.sparkContext.broadcast([(q, [(t, idf[t]) for t in by_query[q]]) for q in names[at : at + QUERIES]])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            number = {t: i for i, t in enumerate(sorted({t for _, ts in held.value for t, _ in ts}))}
+            weights = np.zeros((len(number), len(held.value)))
+            for j, (_, ts) in enumerate(held.value):
+                for t, w in ts:
+                    weights[number[t], j] = w
+            best: list[list] = [[] for _ in held.value]
+            for whole in batches:
+                for start in range(0, whole.num_rows, 500):
+                    batch = whole.slice(start, 500)
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)
+                    scores = np.zeros((len(ids), len(held.value)))
+                    for i, words in enumerate(batch.column(1).to_pylist()):
+                        seen = [number[t] for t in words if t in number]
+                        if seen:
+                            rows, tf = np.unique(np.array(seen), return_counts=True)
+                            scores[i] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / avgdl))) @ weights[rows]
+                    scores = np.round(scores, 6)
+                    least = np.partition(scores, -k, axis=0)[-k] if len(ids) > k else np.zeros(scores.shape[1])
+                    for j in range(scores.shape[1]):
+                        floor = max(least[j], best[j][-1][0] if len(best[j]) == k else 0)
+                        kept = np.flatnonzero((scores[:, j] >= floor) & (scores[:, j] > 0))
+                        if len(kept):
+                            best[j] = sorted(best[j] + [(float(scores[i, j]), int(ids[i])) for i in kept], key=lambda x: (-x[0], x[1]))[:k]
+            rows = [(q, d, s) for (q, _), top_ in zip(held.value, best) for s, d in top_]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+        one = docs.mapInArrow(run, "query_id string, doc_id long, score double")
+        found = one if found is None else found.unionByName(one)
+    return top(found, ["query_id"], F.col("score"), "doc_id", k)
 
 
 def fuse(a: DataFrame, b: DataFrame, by: list[str], k: int, tie: str, c: int = 60) -> DataFrame:

@@ -23,6 +23,20 @@ def _tree(code: str | None):
         return None
 
 
+def statements(tree: ast.AST):
+    """Statements in the order of a walk by levels, without going into expressions."""
+    level = list(tree.body)
+    while level:
+        yield from level
+        deeper = []
+        for n in level:
+            for name in ("body", "orelse", "finalbody"):
+                deeper += getattr(n, name, ())
+            for part in (*getattr(n, "handlers", ()), *getattr(n, "cases", ())):
+                deeper += part.body
+        level = deeper
+
+
 #: The method that holds the forward pass in each framework.
 METHODS = {"pytorch": "forward", "paddlepaddle": "forward", "tensorflow": "call"}
 
@@ -36,19 +50,25 @@ def clean_comments(code: str | None, dll: str | None) -> str | None:
     name = METHODS.get(dll.strip().lower()) if dll else None
     if tree is None or name is None:
         return None
-    node = next((n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == name), None)
+    node = next((n for n in statements(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == name), None)
     if node is None:
         return code
     lines = code.split("\n")
+    first, last = node.lineno - 1, node.end_lineno
+    part = lines[first:last]
+    if not any("#" in x for x in part):
+        return code
+    above = ["if 1:"] if part[0][:1].isspace() else []  # a method's lines stand alone under a header
     try:
-        tokens = list(tokenize.generate_tokens(io.StringIO(code).readline))
+        tokens = list(tokenize.generate_tokens(io.StringIO("\n".join([*above, *part]) + "\n").readline))
     except (tokenize.TokenError, SyntaxError):
         return None
     for token in tokens:
         row, column = token.start
-        if token.type == tokenize.COMMENT and node.lineno <= row <= node.end_lineno and token.line[:column].strip():
-            lines[row - 1] = lines[row - 1][:column].rstrip()
-    return "\n".join(lines)
+        if token.type == tokenize.COMMENT and token.line[:column].strip():
+            at = row - 1 - len(above)
+            part[at] = part[at][:column].rstrip()
+    return "\n".join([*lines[:first], *part, *lines[last:]])
 
 
 def clean_comments_column(code: Column, dll: Column) -> Column:
@@ -67,8 +87,8 @@ def definitions(df: DataFrame, key: str, code: str) -> DataFrame:
         for pdf in frames:
             out = []
             for k, text in zip(pdf[key], pdf[code]):
-                tree = _tree(text)
-                for n in ast.walk(tree) if tree else ():
+                tree = _tree(text) if text and "self" in text else None
+                for n in statements(tree) if tree else ():
                     if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call):
                         for t in n.targets:
                             if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
@@ -84,7 +104,7 @@ def mask_arguments(code: str | None, attribute: str, arguments: list[str]) -> st
     if tree is None:
         return None
     spans = []
-    for n in ast.walk(tree):
+    for n in statements(tree):
         if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and any(isinstance(t, ast.Attribute) and t.attr == attribute for t in n.targets):
             spans += [(w.value.lineno, w.value.col_offset, w.value.end_lineno, w.value.end_col_offset) for w in n.value.keywords if w.arg in arguments]
     raw = [line.encode() for line in code.split("\n")]

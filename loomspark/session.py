@@ -16,6 +16,7 @@ def session(name: str = "loomspark", cores: str = "*", shuffle_partitions: int =
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", 256 * 1024)  # small files are read by more tasks
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LOOMSPARK_DRIVER_MEMORY", "12g"))

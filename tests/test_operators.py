@@ -79,6 +79,8 @@ def test_clean_comments():
     code = "import torch  # a\nclass N:\n    def forward(self, x):\n        # whole\n        s = '# no'  # gone\n        return x\n    def f(self):\n        return 1  # kept"
     got = trees.clean_comments(code, "PyTorch")
     assert "# a" in got and "# whole" in got and "'# no'" in got and "gone" not in got and "# kept" in got
+    deep = 'class N:\n    def call(self, x):\n        """Doc\n  # kept\n"""\n        y = (1,  # gone\n             2)\n        return y\n'
+    assert trees.clean_comments(deep, "tensorflow") == deep.replace("  # gone", "")
     assert trees.clean_comments("def call(x):\n    return x  # c", "pytorch") == "def call(x):\n    return x  # c"
     assert trees.clean_comments("def forward(:", "pytorch") is None and trees.clean_comments(None, "pytorch") is None and trees.clean_comments("x", "jax") is None
 
