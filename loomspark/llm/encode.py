@@ -43,11 +43,16 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomspark.llm.bpe import decode, transducer
+        from loomspark.llm.bpe import Utf8Machine, transducer
 
         tokens = {i: t for t, i in transducer(vocabulary).ranks.items()}
+
+        def read(x: list[int]) -> str:
+            machine = Utf8Machine()
+            return "".join([machine.feed(b"".join([tokens[i] for i in x[at : at + 1024]])) for at in range(0, len(x), 1024)]) + machine.end()
+
         for batch in batches:
-            texts = [None if x is None else "".join(decode(x, tokens)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else read(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, text])
 
     return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"`{key}` {kind}, `{text}` string")
