@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.session import cut
+
 #: Queries of one block: a block of vectors of 64 numbers has 2 MB at most.
 BLOCK = 4096
 #: Text queries scored at once; their weights are a matrix of terms by queries.
@@ -87,27 +89,26 @@ def terms(text: Column) -> Column:
 
 
 def bm25_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) from queries (query_id, text) of a bounded number and documents (doc_id, text).
+    """(query_id, doc_id, score, rank) from queries (query_id, text) and documents (doc_id, text).
 
-    Document frequencies of the queries' terms are counted with combining before the shuffle. Each partition scores
-    its documents by the queries' postings and keeps the best k of each query; only these are shuffled.
+    Document frequencies of the queries' terms are counted with combining before the shuffle. Queries go out in shards
+    of about QUERIES; each partition scores its documents by a shard's weights and keeps the best k of each query; only
+    these are shuffled. Null and empty texts match nothing; equal scores go by doc_id.
     """
     spark = documents.sparkSession
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    held_terms = wanted.select("term").distinct()
-    docs = documents.select("doc_id", terms(F.col("text")).alias("t"))
+    wanted = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    docs = documents.where("doc_id IS NOT NULL").select("doc_id", terms(F.col("text")).alias("t"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(held_terms), "term", "left_semi").groupBy("term").count()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    idf = {r[0]: math.log(1 + (n - r[1] + 0.5) / (r[1] + 0.5)) for r in df.collect()}  # no more rows than query terms
-    by_query: dict[str, list] = {}
-    for q, t in wanted.collect():
-        if t in idf:
-            by_query.setdefault(q, []).append(t)
-    names = sorted(by_query)
+    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = cut(wanted.join(df, "term"))
+    shards = max(1, math.ceil(queries.count() / QUERIES))
     found = None
-    for at in range(0, max(1, len(names)), QUERIES):
-        held = spark.sparkContext.broadcast([(q, [(t, idf[t]) for t in by_query[q]]) for q in names[at : at + QUERIES]])
+    for shard in range(shards):
+        by_query: dict[str, list] = {}
+        for q, t, d in weighed.where(F.expr(f"pmod(xxhash64(query_id), {shards}) = {shard}")).select("query_id", "term", "df").collect():
+            by_query.setdefault(q, []).append((t, math.log(1 + (n - d + 0.5) / (d + 0.5))))
+        held = spark.sparkContext.broadcast(sorted(by_query.items()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             import numpy as np

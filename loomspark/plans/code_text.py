@@ -72,7 +72,7 @@ def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
     tasks = table(spark, folder, "task").select("task_id", "requirement")
     code = F.coalesce("repaired_code", F.lit(""))
     head = F.concat(F.lit("Framework: "), F.lower("dll"), F.lit("\nTask: "), F.coalesce("requirement", F.lit("")))
-    return records.join(F.broadcast(tasks), "task_id", "left").select(
+    return records.join(tasks, "task_id", "left").select(
         "repair_id",
         F.md5(F.concat(head, F.lit("\nWrite the program."))).alias("zero_shot"),
         F.md5(F.concat(head, F.lit("\nProgram:\n"), code)).alias("repair"),

@@ -44,7 +44,7 @@ def repair_success_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exec_rate_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    r = _records(spark, folder, "model", "dll", "task_id").join(_final(spark, folder), "repair_id").join(F.broadcast(table(spark, folder, "task").select("task_id", "difficulty")), "task_id")
+    r = _records(spark, folder, "model", "dll", "task_id").join(_final(spark, folder), "repair_id").join(table(spark, folder, "task").select("task_id", "difficulty"), "task_id")
     rows = r.select(T.slug(F.col("model")).alias("model"), F.lower("dll").alias("dll"), "difficulty", "ok")
     return rows.rollup("model", "dll", "difficulty").agg(F.count("*").alias("programs"), F.sum("ok").alias("ran"), F.round(F.avg("ok"), 6).alias("rate"))
 
@@ -64,7 +64,7 @@ def line_delta_class(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "repair_result").select("repair_id", "task_id", T.code_lines(F.col("repaired_code")).alias("b")).distinct()
     d = F.col("b") - F.col("a")
     kind = F.when(d > 0, "added").when(d < 0, "removed").otherwise("preserved")
-    return r.join(F.broadcast(s), "task_id").where("b IS NOT NULL").groupBy(kind.alias("kind")).agg(F.count("*").alias("programs"), F.sum(d).alias("lines"))
+    return r.join(s, "task_id").where("b IS NOT NULL").groupBy(kind.alias("kind")).agg(F.count("*").alias("programs"), F.sum(d).alias("lines"))
 
 
 def token_cost_summary(spark: SparkSession, folder: str) -> DataFrame:
