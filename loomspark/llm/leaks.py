@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 #: Fixed parameters: BM25 as usual, words of a run, postings of a block, and characters of one shard of the index.
-K1, B, RUN, BLOCK, SHARD_CHARS = 1.2, 0.75, 15, 16, 32_000_000
+K1, B, RUN, BLOCK, SHARD_CHARS = 1.2, 0.75, 15, 16, 4_000_000
 
 
 def words(text: str | None) -> list[str]:
