@@ -146,6 +146,8 @@ def canonical(code: str | None, language: str) -> str:
     code = code.translate(_WIDE) if not code.isascii() else code
     if language == "json":
         return " ".join(_Reader(code, "json").words())
+    if "\r" in code:
+        code = code.replace("\r\n", "\n").replace("\r", "\n")
     lines = code.split("\n")
     first = next((i for i, line in enumerate(lines) if _IMPORT.match(line)), None)
     if first is None:

@@ -167,8 +167,8 @@ class StatementGrammar:
 
     def accepts(self, text: str) -> bool:
         """Whether every balanced statement parses and the blocks fit; what it accepts, Python's grammar accepts."""
-        if "\x0c" in text or "\0" in text:
-            return False
+        if "\x0c" in text or "\0" in text or text.count("\r") != text.count("\r\n"):
+            return False  # left to the whole-file parse
         lines = text.split("\n")
         levels, last = [""], [""]  # indentation of the open blocks; keyword that the latest statement of each leaves
         opened = False  # a header waits for its block

@@ -14,6 +14,7 @@ def test_free_orders_and_formats():
         'import json\n\n\nimport torch\nconf = dict(rate=0.5, run=\'r1\')\nx = nn.Linear(\n    out_features = 16,\n    in_features = 8,\n)\ny = f(x, b=3, a=g(q=2, p=1))',
         CODE.replace(", ", "，").replace("(", "（").replace(")", "）"),
         CODE.replace("\n", "\r\n"),
+        CODE.replace("\n", "\r"),
         CODE.replace("_", " "),
         "# ---\n" + CODE,
     ]

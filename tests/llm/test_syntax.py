@@ -85,6 +85,11 @@ def test_base_and_mutations():
         assert S.valid(code, "py") == truth(code)
 
 
+def test_lone_carriage_returns():
+    for code in ("def f():\n    x = 1\ry = 2\n    z = 3\n", "x = 1\ry = 2\n", "if x:\r\n    y\r\n", "if x:\r    y\r"):
+        assert S.valid(code, "py") == truth(code)
+
+
 def test_summaries_are_associative():
     rng = random.Random(3)
     pieces = ["x = (1,\n", "2)\n", '"""\n', "a # (\n", "'it\\'s'\n", "]\n", "{\n", "y = 'x\\\n", "z'\n", "'''\n", ")\n", "\n"]
