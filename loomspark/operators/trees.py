@@ -126,6 +126,21 @@ def masked(df: DataFrame, key: str, code: str, attribute: str, arguments: str) -
     return df.select(key, code, attribute, arguments).mapInPandas(run, f"{key} {kind}, code string")
 
 
+@F.udtf(returnType="line int, depth int, kind string")
+class Statements:
+    """Table function: the statements of a program with their depth and kind; none of one that doesn't parse."""
+
+    def eval(self, code: str | None):
+        tree = _tree(code)
+        todo = [(n, 0) for n in tree.body[::-1]] if tree else []
+        while todo:
+            n, depth = todo.pop()
+            yield n.lineno, depth, type(n).__name__
+            inner = [x for name in ("body", "orelse", "finalbody") for x in getattr(n, name, ())]
+            inner += [x for part in (*getattr(n, "handlers", ()), *getattr(n, "cases", ())) for x in part.body]
+            todo += [(x, depth + 1) for x in inner[::-1]]
+
+
 def parses_column(code: Column) -> Column:
     """Whether code parses as Python; NULL for NULL."""
 

@@ -80,6 +80,43 @@ def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def prompt_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of each record by pipeline variant: baselines B1 to B4 and ablations A1 to A3, by their hash.
+
+    B1 and B2 draft without and with the task's API names; B3 and B4 debug the drafts that failed; A1 leaves out the API
+    names, A2 the root cause, A3 the shapes.
+    """
+    tasks = table(spark, folder, "task").select("task_id", "requirement")
+    gold = table(spark, folder, "gold_api").groupBy("task_id").agg(F.array_join(F.max("gold_apis"), "\n").alias("docs"))
+    failed = table(spark, folder, "verification").where("compile_status <> 'success'").groupBy("repair_id").agg(F.max(F.coalesce("compile_error", F.lit(""))).alias("error"))
+    r = _records(spark, folder).select("repair_id", "task_id", F.lower("dll").alias("dll"), F.coalesce("repaired_code", F.lit("")).alias("code"), F.coalesce(F.lower("root_cause_type"), F.lit("unknown")).alias("cause")).distinct()
+    r = r.join(tasks, "task_id", "left").join(gold, "task_id", "left").join(failed, "repair_id", "left")
+    base = F.concat_ws("\n", F.col("dll"), F.coalesce("requirement", F.lit("")))
+    docs, bare = F.coalesce("docs", F.lit("(no API retrieved)")), T.strip_shape_comments(F.col("code"))
+    texts = {
+        "B1": base, "B2": F.concat_ws("\n", base, docs),
+        "B3": F.when(F.col("error").isNotNull(), F.concat_ws("\n", base, "code", "error")), "B4": F.when(F.col("error").isNotNull(), F.concat_ws("\n", base, docs, "code", "error")),
+        "A1": F.concat_ws("\n", base, "code", "cause"), "A2": F.concat_ws("\n", base, docs, "code"), "A3": F.concat_ws("\n", base, docs, bare, "cause"),
+    }
+    rows = F.filter(F.array(*[F.struct(F.lit(k).alias("variant"), F.md5(v).alias("prompt")) for k, v in texts.items()]), lambda x: x.prompt.isNotNull())
+    return r.select("repair_id", F.explode(rows).alias("x")).select("repair_id", "x.variant", "x.prompt")
+
+
+def root_cause_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a kind that no handler takes, with the error that names the kinds in order."""
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.array(*map(F.lit, ("Unresolved_Crash", "Forward_Local_Crash", "Direct_Repair", "Merge_Mismatch", "Direct_Repair"))))), ", ")
+    known = F.col("root_cause_type").isin("Unresolved_Crash", "Forward_Local_Crash", "Direct_Repair", "Merge_Mismatch")
+    rejected = _records(spark, folder).where(~F.coalesce(known, F.lit(False))).select("repair_id", "root_cause_type").distinct()
+    return rejected.select("repair_id", F.concat(F.coalesce("root_cause_type", F.lit("NULL")), F.lit(" is none of "), kinds).alias("error"))
+
+
+def code_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements of the reference solutions by kind, through a table function."""
+    spark.udtf.register("loomspark_statements", trees.Statements)
+    table(spark, folder, "solution").createOrReplaceTempView("loomspark_solution")
+    return spark.sql("SELECT task_id, s.line, s.depth, s.kind FROM loomspark_solution, LATERAL loomspark_statements(code) s")
+
+
 def _doc(*columns: str):
     return F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in columns])
 
@@ -185,6 +222,16 @@ _STRIPPED = f"CASE WHEN {_STRIP} = '' THEN '' ELSE {_STRIP} || chr(10) END"
 _SLUG = "trim(regexp_replace(lower(string_split(trim({0}, ' '), '/')[-1]), '[^a-z0-9]+', '_', 'g'), '_')"
 
 SQL = {
+    "prompt_variants": f"""WITH g AS (SELECT task_id, array_to_string(max(gold_apis), chr(10)) AS docs FROM gold_api GROUP BY task_id),
+ f AS (SELECT repair_id, max(coalesce(compile_error, '')) AS error FROM verification WHERE compile_status <> 'success' GROUP BY repair_id),
+ r AS (SELECT DISTINCT repair_id, task_id, lower(dll) AS dll, coalesce(repaired_code, '') AS code, coalesce(lower(root_cause_type), 'unknown') AS cause FROM repair_result),
+ x AS (SELECT repair_id, concat_ws(chr(10), dll, coalesce(requirement, '')) AS base, coalesce(docs, '(no API retrieved)') AS docs, code, cause, error, {_STRIPPED.format('code')} AS bare
+   FROM r LEFT JOIN task USING (task_id) LEFT JOIN g USING (task_id) LEFT JOIN f USING (repair_id))
+SELECT repair_id, variant, md5(t) AS prompt FROM (
+ SELECT repair_id, 'B1' AS variant, base AS t FROM x UNION ALL SELECT repair_id, 'B2', concat_ws(chr(10), base, docs) FROM x
+ UNION ALL SELECT repair_id, 'B3', concat_ws(chr(10), base, code, error) FROM x WHERE error IS NOT NULL UNION ALL SELECT repair_id, 'B4', concat_ws(chr(10), base, docs, code, error) FROM x WHERE error IS NOT NULL
+ UNION ALL SELECT repair_id, 'A1', concat_ws(chr(10), base, code, cause) FROM x UNION ALL SELECT repair_id, 'A2', concat_ws(chr(10), base, docs, code) FROM x UNION ALL SELECT repair_id, 'A3', concat_ws(chr(10), base, docs, bare, cause) FROM x)""",
+    "root_cause_guard": "SELECT DISTINCT repair_id, coalesce(root_cause_type, 'NULL') || ' is none of Direct_Repair, Forward_Local_Crash, Merge_Mismatch, Unresolved_Crash' AS error FROM repair_result WHERE coalesce(root_cause_type, 'NULL') NOT IN ('Unresolved_Crash', 'Forward_Local_Crash', 'Direct_Repair', 'Merge_Mismatch')",
     "code_fence_match": f"""SELECT repair_id, CASE WHEN contains(llm_response, {_F}||'python') AND contains(r, {_F}) THEN regexp_replace(split_part(r, {_F}, 1), '\\A[ \\n\\t\\r]+|[ \\n\\t\\r]+\\z', '', 'g') END AS code
  FROM (SELECT repair_id, llm_response, replace(substr(llm_response, instr(llm_response, {_F}||'python')), {_F}||'python', '') AS r FROM repair_result)""",
     "code_fence_regex": """SELECT repair_id, CASE WHEN regexp_matches(llm_response, '(?s)```python\\s*(.*?)```') THEN regexp_extract(llm_response, '(?s)```python\\s*(.*?)```', 1) END AS code,
@@ -222,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         code_fence_match, code_fence_regex, code_line_count, valid_program_count, strip_shape_comments, shape_annotation_extract, mask_detect, slug_normalize, natural_sort_rank,
-        prompt_render, doc_concat, retrieved_docs_block, temperature_map, api_name_parts, token_log_parse, traceback_frames, verification_log_text, log_file_name, nested_default,
+        prompt_render, prompt_variants, root_cause_guard, code_statements, doc_concat, retrieved_docs_block, temperature_map, api_name_parts, token_log_parse, traceback_frames, verification_log_text, log_file_name, nested_default,
         module_name, forward_local_predicate, comment_clean, call_definition, lint_parse_rate, mask_rewrite,
     )
 }

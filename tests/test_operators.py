@@ -91,3 +91,11 @@ def test_definitions_and_masks(spark):
     assert [tuple(r) for r in trees.definitions(df, "id", "code").collect()] == [(1, "fc", "nn.Linear", 3)]
     got = {r.id: r.code for r in trees.masked(df, "id", "code", "a", "w").collect()}
     assert "in_features='mask', out_features=4" in got[1] and got[2] is None and got[3] is None
+
+
+def test_statements_table_function(spark):
+    spark.udtf.register("statements_in_test", trees.Statements)
+    df = spark.createDataFrame([(1, "import x\nif x:\n    y = 1\nelse:\n    pass\n"), (2, "def ("), (3, None)], "id int, code string")
+    df.createOrReplaceTempView("programs_in_test")
+    got = spark.sql("SELECT id, s.* FROM programs_in_test, LATERAL statements_in_test(code) s").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, "Import"), (1, 2, 0, "If"), (1, 3, 1, "Assign"), (1, 5, 1, "Pass")]
