@@ -2,8 +2,9 @@
 
 A backward character n-gram model holds, for the last characters of a text, how often a text goes on after them and
 how often one ends there. The score of a value is the log of how much more often its final context ends a text than a
-context does on average; values whose score falls short of the threshold of their language and column are cut. The
-model has a fixed size: its counts are hashed, filled in each partition and added up.
+context does on average; values whose score falls short of the threshold of their language and column are cut.
+Counts are exact: only the final contexts of the values are counted, over all texts. A Bloom filter of them tells which
+places of a text may hold one; what passes is added up by the context itself, so that false ones fall out.
 
 An exact check follows: an open fence or a header without its block decides for a cut, and where a record's response
 quotes the same program in a closed fence, the program is compared with it.
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from loomspark.llm.prose import slug
 from loomspark.session import cut
 
-#: Lengths in bytes of the contexts, counters of each length (a power of two) and of a segment of the merge.
+#: Lengths in bytes of the contexts; of the hashed counters, the bits of their number and those of a segment.
 ORDERS, BITS, SEGMENT = (4, 8, 16), 21, 1 << 17
+#: The filter has at least 16 bits a context up to 2^28 (32 MB); beyond, more false places go to the exact counts.
+FILTER_BITS, LEAST_FILTER, MOST_FILTER, FILTER_SEGMENT = 16, 16, 28, 1 << 17
+#: Stands before a text; no byte of UTF-8.
+GAP = b"\xff" * max(ORDERS)
 #: A context met less often gives way to a shorter one. A value doesn't count among the ends it is compared with;
 #: an end that no other value shares counts ALONE.
 SEEN, ALONE = 25, 0.02
@@ -73,11 +78,14 @@ def _rolling(data: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def _bucket(h: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+def _mixed(h: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ seed) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _bucket(h: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    return (_mixed(h, seed) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _seed(group: int) -> np.uint64:
@@ -89,7 +97,10 @@ def code_language(name: str | None) -> str:
 
 
 class Counts:
-    """Hashed counts of contexts (0) and of contexts that end a text (1), by order; values and characters by group."""
+    """Hashed counts of contexts (0) and of contexts that end a text (1), by order; values and characters by group.
+
+    They are upper bounds, as contexts share counters; scores aren't made of them.
+    """
 
     def __init__(self) -> None:
         self.tables = np.zeros((2, len(ORDERS), 1 << BITS), np.int64)
@@ -122,7 +133,7 @@ class Counts:
 
 
 class Model:
-    """Summed counts; score() for one value."""
+    """Summed hashed counts."""
 
     def __init__(self, rows: list[tuple[int, int, bytes]]):
         self.tables = np.zeros((2, len(ORDERS), 1 << BITS), np.float32)
@@ -134,34 +145,39 @@ class Model:
             else:
                 self.tables[table // len(ORDERS), table % len(ORDERS), segment * SEGMENT : segment * SEGMENT + SEGMENT] = values
 
-    def scores(self, texts: list[bytes], groups: list[int]) -> np.ndarray:
-        """log of (share of the final context among ends / its share among all places); low for texts cut off.
 
-        A response without a block may also end the way that those with a block do.
-        """
-        out = self._scores(texts, groups)
-        bare, fenced = GROUPS.index("bare"), GROUPS.index("fenced")
-        also = [i for i, g in enumerate(groups) if g == bare]
-        if also:
-            out[also] = np.maximum(out[also], self._scores([texts[i] for i in also], [fenced] * len(also)))
-        return out
+def _probes(mixed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three places in a filter of 2^bits; the hash's order is part of what was mixed."""
+    yield mixed >> np.uint64(64 - bits)
+    yield mixed & np.uint64((1 << bits) - 1)
+    with np.errstate(over="ignore"):
+        yield (mixed * _P) >> np.uint64(64 - bits)
+
+
+def _order_seed(group: int, order: int) -> np.uint64:
+    return np.uint64((int(_seed(group)) ^ order * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1)
+
+
+def _distinct(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of bytes and how often each occurs."""
+    words = contexts.view(np.uint32 if contexts.shape[1] == 4 else np.uint64)
+    words = words[np.lexsort(words.T)]
+    starts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
+    return np.ascontiguousarray(words[starts]).view(np.uint8), np.diff(np.append(starts, len(words)))
 
-    def _scores(self, texts: list[bytes], groups: list[int]) -> np.ndarray:
-        gap = b"\0" * max(ORDERS)
-        data = np.frombuffer(b"".join([x for t in texts for x in (gap, t[-max(ORDERS) :])]), np.uint8)
-        if not len(data):
-            return np.zeros(0)
-        ends = np.cumsum([len(gap) + min(len(t), max(ORDERS)) for t in texts]) - 1
-        seeds = np.array([_seed(g) for g in groups], np.uint64)
-        values, places = (self.sizes[groups, i].astype(float) for i in (0, 1))
-        out = np.full(len(texts), np.nan)
-        for k, (order, h) in reversed(list(enumerate(_rolling(data).items()))):
-            at = _bucket(h[ends], seeds)
-            everywhere, here = self.tables[0, k][at], self.tables[1, k][at]
-            usable = np.isnan(out) & ((everywhere >= SEEN) | (k == 0))
-            lift = (np.maximum(here - 1, 0) + ALONE) / np.maximum(everywhere, 1) * places / np.maximum(values, 1)
-            out[usable] = np.log(lift[usable])
-        return out
+
+def occurrences(texts: list[bytes], group: int, held: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, how often each occurs) by order, of those that pass the filter."""
+    data = np.frombuffer(b"".join([x for t in texts for x in (GAP, t)]), np.uint8)
+    inside = np.flatnonzero(data != GAP[0])
+    for order, h in _rolling(data).items():
+        at, mixed = inside, _mixed(h[inside], _order_seed(group, order))
+        for k in range(3):
+            place = next(p for i, p in enumerate(_probes(mixed, bits)) if i == k)
+            passed = (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            at, mixed = at[passed], mixed[passed]
+        if len(at):
+            yield _distinct(np.lib.stride_tricks.sliding_window_view(data, order)[at - (order - 1)])
 
 
 def _clean(code: str) -> str:
@@ -223,48 +239,16 @@ def _source(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return records.where("repair_id IS NOT NULL").select(F.col("repair_id").cast("long"), "filename", "llm_response", code)
 
 
-def train(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> list[tuple[int, int, bytes]]:
-    """Counts over all values. What reaches the driver has the model's fixed size, whatever the data."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
-        for batch in batches:
-            for _, names, responses, codes in _batches(batch):
-                found = list(_values(names, responses, codes, columns))
-                counts.add([_bytes(t) for _, _, t, _, _ in found], [g for *_, g in found])
-        t, s, c = zip(*counts.rows())
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(s, pa.int32()), pa.array(c, pa.binary())], names=["t", "s", "c"])
-
-    def add(pdf):
-        import pandas as pd
-
-        total = None
-        for raw in pdf["c"]:
-            values = np.frombuffer(zlib.decompress(raw), np.int64)
-            total = values if total is None else total + values
-        return pd.DataFrame({"t": [pdf["t"].iloc[0]], "s": [pdf["s"].iloc[0]], "c": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = _source(records, columns).mapInArrow(run, "t int, s int, c binary")
-    return [(r[0], r[1], bytes(r[2])) for r in parts.groupBy("t", "s").applyInPandas(add, "t int, s int, c binary").collect()]
-
-
-def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """(repair_id, field, language, score, marked, verdict): a row for each value that isn't blank.
-
-    verdict is what the exact check says: 1 cut, 0 whole, null nothing.
-    """
-    spark = records.sparkSession
-    held = spark.sparkContext.broadcast(train(records, columns))
+def _ends(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(repair_id, field, language, marked, verdict, kind: the group, tail: the longest final context, size in bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomspark.llm.prose import language
 
-        model = None
         for batch in batches:
-            model = model or Model(held.value)
             for ids, names, responses, codes in _batches(batch):
                 found = list(_values(names, responses, codes, columns))
-                scores = model.scores([_bytes(t) for _, _, t, _, _ in found], [g for *_, g in found])
+                texts = [_bytes(t) for _, _, t, _, _ in found]
                 verdicts: list[int | None] = []
                 kinds = [(language(f[2]) or "und") if f[1] == "llm_response" else GROUPS[f[4]] for f in found]
                 for i, column, text, marked, group in found:
@@ -276,11 +260,97 @@ def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
                             said = True
                         verdicts.append(None if said is None else int(said))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array(kinds, pa.string()), pa.array(scores, pa.float64()), pa.array([f[3] for f in found], pa.bool_()), pa.array(verdicts, pa.int32())],
-                    names=["repair_id", "field", "language", "score", "marked", "verdict"],
+                    [pa.array([ids[f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array(kinds, pa.string()), pa.array([f[3] for f in found], pa.bool_()), pa.array(verdicts, pa.int32()), pa.array([f[4] for f in found], pa.int32()), pa.array([(GAP + t[-len(GAP) :])[-len(GAP) :] for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["repair_id", "field", "language", "marked", "verdict", "kind", "tail", "size"],
                 )
 
-    return _source(records, columns).mapInArrow(run, "repair_id bigint, field string, language string, score double, marked boolean, verdict int")
+    return _source(records, columns).mapInArrow(run, "repair_id bigint, field string, language string, marked boolean, verdict int, kind int, tail binary, size bigint")
+
+
+def _filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter of the contexts and the bits of its size; what reaches the driver is 32 MB at most."""
+    import pandas as pd
+
+    bits = min(max((FILTER_BITS * wanted.count()).bit_length(), LEAST_FILTER), MOST_FILTER)
+    length = (1 << bits) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(length, np.uint8)
+        for batch in batches:
+            kinds, contexts = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+            orders = np.array([len(c) for c in contexts])
+            for group in range(len(GROUPS)):
+                for order in ORDERS:
+                    chosen = np.flatnonzero((kinds == group) & (orders == order))
+                    if len(chosen):
+                        h = _rolling(np.frombuffer(b"".join(contexts[i] for i in chosen), np.uint8))[order][order - 1 :: order]
+                        for place in _probes(_mixed(h, _order_seed(group, order)), bits):
+                            np.bitwise_or.at(held, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        parts = [(s, held[s : s + FILTER_SEGMENT]) for s in range(0, length, FILTER_SEGMENT)]
+        parts = [(s, zlib.compress(x.tobytes(), 1)) for s, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["s", "c"])
+
+    def merge(pdf):
+        total = None
+        for raw in pdf["c"]:
+            x = np.frombuffer(zlib.decompress(raw), np.uint8)
+            total = x if total is None else total | x
+        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "c": [zlib.compress(total.tobytes(), 1)]})
+
+    held = np.zeros(length, np.uint8)
+    for s, c in wanted.select("kind", "context").mapInArrow(run, "s int, c binary").groupBy("s").applyInPandas(merge, "s int, c binary").collect():
+        part = np.frombuffer(zlib.decompress(bytes(c)), np.uint8)
+        held[s : s + len(part)] = part
+    return held, bits
+
+
+def context_counts(records: DataFrame, ends: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(kind, context, here: ends with it, everywhere: places after it): exact, for the final contexts of all values."""
+    each = ends.groupBy("kind", "tail").agg(F.count("*").alias("here"))
+    bare, fenced = GROUPS.index("bare"), GROUPS.index("fenced")
+    each = each.unionByName(each.where(F.col("kind") == bare).select(F.lit(fenced).alias("kind"), "tail", F.lit(0).cast("long").alias("here")))
+    contexts = F.explode(F.array(*[F.expr(f"substring(tail, {1 - o + len(GAP)}, {o})") for o in ORDERS])).alias("context")
+    wanted = cut(each.select("kind", "here", contexts).groupBy("kind", "context").agg(F.sum("here").alias("here")))
+    held = records.sparkSession.sparkContext.broadcast(_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, names, responses, codes in _batches(batch):
+                texts: dict[int, list[bytes]] = {}
+                for _, _, text, _, group in _values(names, responses, codes, columns):
+                    texts.setdefault(group, []).append(_bytes(text))
+                for group, own in texts.items():
+                    for found, counts in occurrences(own, group, *held.value):
+                        n, order = found.shape
+                        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(order), n, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int32)), key, pa.array(counts.astype(np.int64))], names=["kind", "context", "n"])
+
+    everywhere = _source(records, columns).mapInArrow(run, "kind int, context binary, n bigint").groupBy("kind", "context").agg(F.sum("n").alias("n"))
+    return wanted.join(everywhere, ["kind", "context"], "left").select("kind", "context", "here", F.coalesce("n", F.lit(0)).alias("everywhere"))
+
+
+def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(repair_id, field, language, score, marked, verdict): a row for each value that isn't blank.
+
+    score is the log of (share of the final context among ends / its share among all places); low for texts cut off. A
+    response without a block may also end the way that those with a block do. verdict is what the exact check says: 1
+    cut, 0 whole, null nothing.
+    """
+    ends = cut(_ends(records, columns))
+    counts = cut(context_counts(records, ends, columns))
+    bare, fenced = GROUPS.index("bare"), GROUPS.index("fenced")
+    tails = ends.select("kind", "tail").distinct()
+    tails = tails.withColumn("as", F.explode(F.when(F.col("kind") == bare, F.array(F.lit(bare), F.lit(fenced))).otherwise(F.array("kind"))))
+    for o in ORDERS:
+        own = counts.select(F.col("kind").alias("as"), F.col("context").alias(f"c{o}"), F.col("here").alias(f"h{o}"), F.col("everywhere").alias(f"e{o}"))
+        tails = tails.withColumn(f"c{o}", F.expr(f"substring(tail, {1 - o + len(GAP)}, {o})")).join(own, ["as", f"c{o}"])
+    sizes = ends.groupBy(F.col("kind").alias("as")).agg(F.sum("size").alias("places"), F.count("*").alias("values"))
+    lift = {o: (F.greatest(F.col(f"h{o}") - 1, F.lit(0)) + ALONE) / F.greatest(F.col(f"e{o}"), F.lit(1)) * F.col("places") / F.col("values") for o in ORDERS}
+    chosen = lift[min(ORDERS)]
+    for o in sorted(ORDERS)[1:]:
+        chosen = F.when(F.col(f"e{o}") >= SEEN, lift[o]).otherwise(chosen)
+    scores = tails.join(F.broadcast(sizes), "as").groupBy("kind", "tail").agg(F.max(F.log(chosen)).alias("score"))
+    return ends.join(scores, ["kind", "tail"]).select("repair_id", "field", "language", "score", "marked", "verdict")
 
 
 def thresholds(values: DataFrame) -> dict[tuple[str, str], float]:

@@ -1,5 +1,6 @@
 """Cut values and defective pairs: held-out accuracy on made texts, and all defined cases."""
 
+import math
 import random
 
 from loomspark.llm import cuts, pairs
@@ -73,6 +74,30 @@ def test_counts_add_up():
     assert (model.tables == whole.tables).all() and (model.sizes == whole.sizes).all()
 
 
+def test_scores_are_of_exact_counts(spark):
+    """Texts of far more contexts than there are hashed counters could keep apart."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzäöü()=,.: "
+    texts = ["".join(rng.choices(letters, k=1500)).strip() + rng.choice([" done.", " and so on", "x", rng.choice(letters[:20]) + " whole text ends here."]) for _ in range(300)]
+    texts += ["ab", "b", "c whole text ends here." * 40]
+    data = [t.encode() for t in texts]
+    padded = [b"\xff" * 16 + t for t in data]
+    places = sum(map(len, data))
+    everywhere, ends = {}, {}
+    for t in padded:
+        for order in (4, 8, 16):
+            for i in range(17, len(t) + 1):
+                everywhere[t[i - order : i]] = everywhere.get(t[i - order : i], 0) + 1
+            ends[t[-order:]] = ends.get(t[-order:], 0) + 1
+    want = []
+    for t in padded:
+        c = next(t[-o:] for o in (16, 8, 4) if o == 4 or everywhere[t[-o:]] >= cuts.SEEN)
+        want.append(math.log((max(ends[c] - 1, 0) + cuts.ALONE) / everywhere[c] * places / len(texts)))
+    df = spark.createDataFrame([(i, "a.py", None, t) for i, t in enumerate(texts)], "repair_id long, filename string, llm_response string, repaired_code string").repartition(3)
+    got = {r.repair_id: r.score for r in cuts.scored(df).collect()}
+    assert len(got) == len(want) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
+
+
 PROMPT = f"You repair programs. The program below stops with an error; change as little as possible.\n\n{FENCE}python\nx = conv(8, 16)\ny = x + 1\nprint(y)\n{FENCE}\n\nTraceback: line 3, wants 8 gets 16. Please explain in a few sentences."
 
 
