@@ -1,14 +1,16 @@
 """Problem 5: prompt and response pairs with a defect.
 
-Openings of the responses that hold no code are clustered by MinHash of their word shingles, each candidate verified
-against its bucket's representative. A template that recurs across unrelated prompts, or that declines in words, and
+Openings of the responses that hold no code are clustered by an exact join of their sets of word shingles: openings alike
+by ALIKE share one of their rarest shingles, and what shares one is compared. A template that recurs across unrelated prompts, or that declines in words, and
 holds nothing of its prompt is a refusal. Copies, other languages and lost ends are told by checks of each pair.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ DECLINES = re.compile(
     r"kann ich (?:nicht|kein\w*)|nicht helfen|darf ich|ablehnen|nicht möglich|kein\w* antwort|no puedo|no me es|no es posible|rechazar|no debo|negarme)\b|无法|不能|拒绝|超出|抱歉|不便",
     re.I,
 )
-#: Words of a shingle; least share of equal shingles; hashes and rows of a band of the MinHash; words of an opening.
-SHINGLE, ALIKE, HASHES, ROWS, OPENING = 5, 0.8, 32, 2, 24
+#: Words of a shingle; least share of equal shingles; words of an opening; openings that are compared without a split.
+SHINGLE, ALIKE, OPENING, FEW = 5, 0.8, 24, 64
 #: Unrelated prompts across which a template must recur where it doesn't decline in words.
 RECURS = 3
 #: A copy repeats this share of the prompt's shingles, or has nothing of its own; own shingles left to a heading.
@@ -161,67 +163,140 @@ def features(records: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "repair_id bigint, local string, wrong boolean, opening string, declines boolean, prompt_key bigint")
 
 
-def minhash_bands(text: str) -> list[int]:
-    import numpy as np
-    from xxhash import xxh3_64_intdigest
+def shared(size: int) -> int:
+    """Shingles that a set of this size shares at least with any set alike."""
+    return math.ceil(ALIKE * size - 1e-9)
 
-    h = np.array([xxh3_64_intdigest(x.encode()) for x in set(shingles(text.split()))] or [0], np.uint64)
-    with np.errstate(over="ignore"):
-        salted = h[:, None] * _ODD[None, :] + _ADD[None, :]
-    least = (salted ^ (salted >> np.uint64(29))).min(axis=0)
-    return [xxh3_64_intdigest(bytes([k]) + least[k * ROWS : k * ROWS + ROWS].tobytes()) - (1 << 63) for k in range(HASHES // ROWS)]
 
+def alike(p: set[str], q: set[str]) -> bool:
+    return len(p & q) >= ALIKE * len(p | q)
 
-def _constants():
-    import numpy as np
 
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, np.uint64)
+def links(openings: list[str], orders: list[list[int]], starts: list[int]) -> list[tuple[str, str]]:
+    """Alike pairs that join all openings which are alike, directly or by others; all share a shingle.
 
+    orders are each opening's shingles, rare ones first; starts the places after the shared one, the first that a pair
+    shares. Many openings are split again by the next shared shingle; what is joined already isn't compared.
+    """
+    sets: dict[int, set[str]] = {}
+    root = list(range(len(openings)))
+    out = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def words(i: int) -> set[str]:
+        if i not in sets:
+            sets[i] = set(shingles(openings[i].split()))
+        return sets[i]
+
+    def join(i: int, j: int) -> bool:
+        if not alike(words(i), words(j)):
+            return False
+        root[find(j)] = find(i)
+        out.append((openings[i], openings[j]))
+        return True
 
-_ODD, _ADD = _constants()
+    def compare(members: list[int]) -> None:
+        groups: dict[int, list[int]] = {}
+        for i in members:
+            groups.setdefault(find(i), []).append(i)
+        done: list[list[int]] = []
+        for group in groups.values():
+            apart = []
+            for other in done:
+                if any(join(i, j) for i in group for j in other):
+                    group = other + group
+                else:
+                    apart.append(other)
+            done = [*apart, group]
+
+    todo = [[(i, at, shared(len(orders[i])) - 1) for i, at in enumerate(starts)]]
+    while todo:
+        members = todo.pop()
+        first = members[0][0]
+        for i, _, _ in members[1:]:
+            if find(i) != find(first):
+                join(first, i)
+        if len({find(i) for i, _, _ in members}) < 2:
+            continue
+        if len(members) <= FEW or any(need < 1 for _, _, need in members):
+            compare([i for i, _, _ in members])
+            continue
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for i, at, need in members:
+            for k in range(at, len(orders[i]) - need + 1):
+                parts.setdefault(orders[i][k], []).append((i, k + 1, need - 1))
+        todo += [x for x in parts.values() if len(x) > 1]
+    return out
 
 
 def templates(openings: DataFrame) -> DataFrame:
     """(opening, template): openings whose shingles are alike by ALIKE or more share a template, the least opening.
 
-    Each opening is compared with the least opening of each of its buckets, never with all of them; the links are
-    followed until no label changes.
+    Alike openings share one of the first shingles of each, rare ones first; so each opening meets those with which it
+    shares one of these, and no pair is missed. The links are followed until no label changes.
     """
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
-            texts, keys = [], []
-            for t in batch.column(0).to_pylist():
-                for b in minhash_bands(t):
-                    texts.append(t)
-                    keys.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.int64())], names=["opening", "band"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, keys = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = {xxh3_64_intdigest(x.encode()) - (1 << 63) for x in shingles(t.split())}
+                ids += [i] * len(own)
+                keys += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["id", "shingle"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(a, b)):
-                p, q = set(shingles(x.split())), set(shingles(y.split()))
-                if x != y and len(p & q) >= ALIKE * len(p | q):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int32()))
-
-    distinct = cut(openings.select("opening").distinct())
-    banded = cut(distinct.mapInArrow(bands, "opening string, band bigint"))
-    heads = banded.groupBy("band").agg(F.min("opening").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    links = cut(banded.join(heads, "band").select("opening", "head").where("opening <> head").distinct().mapInArrow(verify, "opening string, head string"))
-    both = cut(links.unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))))
+            out = []
+            for opening, order in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = [x["shingle"] for x in order]
+                out += [(x["shingle"], opening, keys, k + 1) for k, x in enumerate(order[: len(order) - shared(len(order)) + 1]) if x["n"] > 1]
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shingle", "opening", "keys", "start"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(4)))
+
+        def made(found: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(2)], names=["opening", "head"])
+
+        found: list[tuple[str, str]] = []
+        for _, members in groupby(rows(), key=lambda r: r[0]):  # sorted by shingle
+            members = list(members)
+            if len(members) > 1:
+                found += links(*(list(x) for x in list(zip(*members))[1:]))
+            if len(found) > 10_000:
+                yield made(found)
+                found = []
+        yield made(found)
+
+    distinct = cut(openings.select("opening").distinct().select(F.monotonically_increasing_id().alias("id"), "opening"))
+    spreaded = cut(distinct.mapInArrow(spread, "id bigint, shingle bigint"))
+    often = spreaded.groupBy("shingle").agg(F.count("*").alias("n"))
+    orders = spreaded.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("keys"))
+    met = distinct.join(orders, "id").select("opening", "keys").mapInArrow(prefixes, "shingle bigint, opening string, keys array<bigint>, start int")
+    found = cut(met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "opening string, head string").distinct())
+    both = cut(found.unionByName(found.select(F.col("head").alias("opening"), F.col("opening").alias("head"))))
     labels = distinct.select("opening", F.col("opening").alias("template"))
-    for _ in range(30):
+    while True:  # labels only get less, so this ends
         near = both.join(labels.withColumnRenamed("opening", "head"), "head").groupBy("opening").agg(F.min("template").alias("other"))
-        after = cut(labels.join(near, "opening", "left").select("opening", F.least("template", F.coalesce("other", "template")).alias("template"), (F.col("other") < F.col("template")).alias("moved")))
+        least = labels.join(near, "opening", "left").select("opening", F.col("template").alias("was"), F.least("template", F.coalesce("other", "template")).alias("least"))
+        further = labels.select(F.col("opening").alias("least"), F.col("template").alias("further"))
+        after = cut(least.join(further, "least").select("opening", F.least("least", "further").alias("template"), (F.col("least") < F.col("was")).alias("moved")))
         moved = after.where("moved").limit(1).count()
         labels = after.select("opening", "template")
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def defects(records: DataFrame) -> DataFrame:

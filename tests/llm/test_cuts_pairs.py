@@ -142,3 +142,32 @@ def test_templates_follow_links(spark):
     texts = [" ".join([*base[: 24 - i], *[f"v{j}" for j in range(i)]]) for i in range(2)] + ["quite another opening of five words and more"]
     got = {r.opening: r.template for r in pairs.templates(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
     assert got[texts[0]] == got[texts[1]] == min(texts[:2]) and got[texts[2]] == texts[2]
+
+
+def test_templates_are_those_of_all_pairs(spark):
+    """Pairs of openings around one stock middle, each pair alike, and openings that share much but too little."""
+    rng = random.Random(3)
+    stock = [f"s{i}" for i in range(16)]
+    texts = []
+    for i in range(400):
+        edge = [f"u{rng.randrange(10**6)}x{j}" for j in range(8)]
+        texts += [" ".join([*edge[:4], *stock, *edge[4:]]), " ".join([*edge[:4], *stock, *edge[4:6], f"v{i}", "w"])]
+    texts += [" ".join([*stock, *rng.choices("abc", k=8)]) for _ in range(100)] + ["short one", "short one now"]
+    texts += [" ".join([f"h{j}" for j in range(i, i + 24)]) for i in range(12)]  # each alike with the next two only
+    texts = sorted(set(texts))
+    sets = [set(pairs.shingles(t.split())) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= pairs.ALIKE * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.opening: r.template for r in pairs.templates(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert got == {t: texts[find(i)] for i, t in enumerate(texts)}
+    assert len(set(got.values())) < len(texts) - 400
