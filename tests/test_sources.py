@@ -2,6 +2,8 @@
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.sources import files
@@ -67,3 +69,18 @@ def test_stream_leaves_late_rows_out(spark, tmp_path):
     run_to_table(windowed_counts(event_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(str(r.start)[:10], r.n) for r in got} >= {("2024-01-01", 1)} and all(r.event_type == "a" for r in got)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stream_windows_hold_all_rows(spark, tmp_path, files):
+    """Later files hold older rows, rows without a time have no window, and the last window counts too."""
+    from loomspark.plans.general import general_stream_windows
+
+    rows = [(i, f"2024-01-{1 + (17 * i) % 30:02d} 0{i % 9}:30:00", "ab"[i % 2], float(i)) for i in range(200)] + [(200, "2024-01-31 23:59:59", "a", None), (201, None, "a", 1.0)]
+    frame = spark.createDataFrame(rows, "event_id int, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for k in range(files):
+        frame.where(F.col("event_id") % files == files - 1 - k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    want = duckdb.sql(f"SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM '{tmp_path}/events.parquet/*.parquet' WHERE ts IS NOT NULL GROUP BY ALL").fetchall()
+    got = general_stream_windows(spark, str(tmp_path)).collect()
+    assert sorted((str(r.start)[:10], r.event_type, r.n) for r in got) == sorted((x[:10], y, n) for x, y, n, _ in want)
+    assert {(str(r.start)[:10], r.event_type): r.total for r in got} == {(x[:10], y): t for x, y, _, t in want}
