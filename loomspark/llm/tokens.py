@@ -85,7 +85,12 @@ def counted(records: DataFrame, known: DataFrame | None = None, fields: Sequence
         have = known.where(F.col("tokenizer") == name).select("hash", "tokens")
         pairs = bare.select(F.explode(F.array(*[f"{f}_h" for f in fields])).alias("hash")).where("hash IS NOT NULL").distinct()
         unseen = cut(pairs.join(have, "hash", "left_anti"))
-        fresh = content_facts(records.join(_with_unseen(bare, unseen, fields), "repair_id", "left_semi"), fields, vocabulary)
+        # null ids match nothing in a join: if any of their texts is unseen, all rows without an id are encoded
+        wanted = cut(_with_unseen(bare, unseen, fields))
+        again = records.join(wanted.where("repair_id IS NOT NULL"), "repair_id", "left_semi")
+        if wanted.where("repair_id IS NULL").limit(1).count():
+            again = again.unionByName(records.where(F.col("repair_id").cast("long").isNull()).select(again.columns))
+        fresh = content_facts(again, fields, vocabulary)
         new = _count_table(fresh, fields, name).join(unseen, "hash", "left_semi")
         have = cut(have.unionByName(new.select("hash", "tokens")))
         facts = bare

@@ -56,6 +56,15 @@ def test_delta_with_changed_and_removed_records(spark):
     assert {t.tokenizer for t in table.collect()} == {"byte_bpe_50k.tiktoken"}
 
 
+def test_delta_counts_new_texts_of_rows_without_id(spark):
+    new_rows = [*ROWS, (None, "d", "en", "pytorch", "a text that stands nowhere else", "nor does this one")]
+    _, known = tokens.counted(frame(spark, ROWS))
+    new, _ = tokens.counted(frame(spark, new_rows), known)
+    full, _ = tokens.counted(frame(spark, new_rows))
+    columns = ["repair_id", "model", "prompt_n", "llm_response_n"]
+    assert sorted(map(str, new.select(columns).collect())) == sorted(map(str, full.select(columns).collect()))
+
+
 def test_known_texts_are_not_encoded_again(spark):
     facts, table = tokens.counted(frame(spark, ROWS[:3]))
     wrong = table.selectExpr("hash", "tokenizer", "tokens + 1000 AS tokens")
