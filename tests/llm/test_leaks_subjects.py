@@ -101,6 +101,22 @@ def test_subjects(spark):
     assert S.document_subjects(docs.where("false"), areas, labels).count() == 0 and S.document_subjects(docs, areas.where("false"), labels).count() == 0
 
 
+def test_thresholds_are_lowest_within_noise():
+    good = [(1.0 + i / 100, 1.0, 1.0) for i in range(100)]
+    bad = [(0.1 + i / 1000, 1.0, 0.0) for i in range(100)]
+    assert 0.15 < S.lowest(good + bad, 0.0) < 1.0 and S.lowest(good, 0.0) == S.lowest(good, 50.0) == 0.5
+    assert S.lowest([], 3.0) is None and S.lowest(bad, 0.0) is None
+
+
+def test_scores_weigh_rarity_and_length(spark):
+    terms = (("common", (("a", 1.0),)), ("loose", (("b", 0.5),)), ("rare", (("a", 1.0),)))
+    texts = ["common. common."] * 30 + ["rare. rare.", "rare. rare. " + "plain. " * 40, "loose. loose."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.subject): r for r in S.scores(S.hits(docs, terms), terms).collect()}
+    assert got[30, "a"].score > got[0, "a"].score and got[30, "a"].score > got[31, "a"].score > 0
+    assert got[32, "b"].score < got[30, "a"].score and all(r.evidence == 2 for r in got.values())
+
+
 def test_entry_adds_these_queries():
     import __spark_entry__ as e
 
