@@ -11,11 +11,11 @@ FENCED = re.compile(r"(`{3,}|~{3,}).*?(?:\1|\Z)", re.S)
 _TICKED = re.compile(r"`[^`\n]*`")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
-#: Common function words, as far as no other of these languages writes them alike.
+#: The most frequent function words of each language, but for those that another of them writes alike.
 _COMMON = {
-    "en": "the and of to is that it this with for was be are not you your from at which have has had by what when an find here please write tell wrong stops before after only every nothing value values change keep following did".split(),
-    "de": "der die das und ist nicht mit für von dem den des ein eine einen einem einer zu wie auf sich im hier wurde bitte vor nach bei durch dieses diesem diesen kann zum zur als auch gibt blieb bleibt nichts alle werte das programm jetzt musste habe ich dabei mir dir dein leider".split(),
-    "es": "el los las que del se por una para con es más esta este está lo como pero sus al ya aquí hay sin según cada antes después de la en un no sigue cambia añadas todos mantén viene solo hubo esto debo puedo".split(),
+    "en": "the and of to is that it this with for are not you your from at which have has had by what when be been being were or we they he she but can could would should there their then than these those into only after before about because do does did how where who why each some such other its our more most just very please here now".split(),
+    "de": "der die das und ist nicht mit für von dem den des ein eine einen einem einer eines zu wie auf sich im auch als nach bei durch aus oder aber wenn dass hier noch nur schon sehr mehr wird werden wurde wurden sind waren haben habe hatte kann können muss müssen soll sollen ich wir ihr sie ihre sein seine mein dein kein keine diese dieser dieses diesen diesem welche jede alle alles nichts zum zur vom beim über unter zwischen gegen ohne weil damit dann denn doch bitte vor bis seit".split(),
+    "es": "el la los las que del de se por una un para con en más esta este está estos estas están esto lo como pero sus su al ya aquí hay sin según cada antes después son ser fue era han muy también cuando donde porque todo toda todos todas nada otro otra entre sobre hasta desde puede solo".split(),
 }
 COMMON = {w: lang for lang, words in _COMMON.items() for w in words}
 

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from loomspark.llm import cuts, pairs
 
 FENCE = "`" * 3
@@ -108,35 +110,58 @@ def test_pair_checks():
     assert pairs.is_copy(PROMPT, PROMPT.upper()) and pairs.is_copy(PROMPT, "You asked:\n\n" + PROMPT) and pairs.is_copy(PROMPT, "\n".join("> " + x for x in PROMPT.split("\n")))
     assert not pairs.is_copy(PROMPT, PROMPT + " The layer was wrong, so I set its width to eight and kept all of the rest.")
     assert not pairs.is_copy(PROMPT, "x = conv(8, 8)\ny = x + 1\nprint(y)")
+    lines = [f"line {k} asks for quite another change of the layer with index {k * 7}" for k in range(5)]
+    assert pairs.is_copy("\n".join(lines), "\n".join(lines[1:4])) and not pairs.is_copy("\n".join(lines), lines[1])
+    assert pairs.is_copy("a b c d e f g h i j " * 50_000, "a b c d e f g h i j " * 50_000)
     de = f"Die Schicht passte nicht zu den Werten, die dort ankommen.\n{FENCE}python\nx = conv(8, 8)\n{FENCE}"
     assert pairs.wrong_language(PROMPT, de) and not pairs.wrong_language(PROMPT + " Please explain it in German.", de)
     assert not pairs.wrong_language(PROMPT, f"{FENCE}python\nx = 1\n{FENCE}")
 
 
+def words(rng, n=60):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+
+
 def test_defects(spark):
     rng = random.Random(9)
     rows = []
     for i in range(400):
         code = program(rng)
-        prompt = PROMPT.replace("16", str(20 + i)) + f" Case {i}."
+        prompt = PROMPT.replace("16", str(20 + i)) + f" Case {i}. {words(rng)}" * 3
         rows.append((i, prompt, answer(rng, code), "a.py", code))
     refusal = "As things stand this request lies outside of what the team hands out, please ask somebody who knows the whole project well"
     for i in range(5):
-        rows[i] = (i, rows[i][1], f"{refusal} {'today' if i % 2 else 'now'}", "a.py", None)  # recurs, declines in no listed word
-    rows[5] = (5, rows[5][1], "I can't help with that.", "a.py", None)
+        rows[i] = (i, rows[i][1], f"{refusal} {'today' if i % 2 else 'now'}.", "a.py", None)  # none of its words is listed anywhere
+    rows[5] = (5, rows[5][1], "Thanks. I'd rather leave this one alone!", "a.py", None)
     rows[6] = (6, rows[6][1], None, "a.py", None)
     rows[7] = (7, rows[7][1], rows[7][1], "a.py", None)
     rows[8] = (8, None, None, "a.py", None)
     rows[9] = (9, rows[9][1], "Open the file and replace the 29 by 8 in line 3. Nothing else was changed.", "a.py", None)
     rows[10] = (10, rows[10][1], rows[10][2][: rows[10][2].index("self.") + 6], "a.py", None)
+    rows[11] = (11, rows[11][1], "I'd rather leave this one alone. Sorry for that.", "a.py", None)
+    for i in range(12, 18):  # one prompt and reworded copies of it: what recurs across these tells nothing
+        rows[i] = (i, rows[12][1] + f" Reworded {i}.", "The width of that layer is simply too large there.", "a.py", None)
     rows.append(rows[6])
     df = spark.createDataFrame(rows, "repair_id long, prompt string, llm_response string, filename string, repaired_code string").repartition(3)
     got = {r.repair_id: r.defect for r in pairs.defects(df).collect()}
-    want = {**{i: "refusal" for i in range(6)}, 6: "empty", 7: "copy", 10: "truncated"}
-    assert {k: v for k, v in got.items() if k < 11} == want and len(got) < 15
+    want = {**{i: "refusal" for i in (0, 1, 2, 3, 4, 5, 11)}, 6: "empty", 7: "copy", 10: "truncated"}
+    assert {k: v for k, v in got.items() if k < 18 and v != "truncated" or k == 10} == want and len(got) < 25
     assert pairs.defects(df.where("false")).count() == 0
 
 
+def test_sketches_tell_unrelated_prompts():
+    rng = random.Random(5)
+    base = words(rng, 200)
+    near, far = base.replace(base[200:230], "x y z"), words(rng, 200)
+    differ = lambda a, b: sum(x != y for x, y in zip(pairs.sketch(a), pairs.sketch(b)))
+    assert differ(base, near) < pairs.UNRELATED <= differ(base, far) and len(pairs.sketch("")) == pairs.SKETCH
+
+
+def test_openings():
+    assert pairs.openings(f"Danke! Zeile 12 in `a.b` geht nicht.\n{FENCE}python\nx = 1\n{FENCE}\nEnde.") == ["danke", "zeile in geht nicht"]
+    assert pairs.openings("不能。抱歉。") == ["不 能", "抱 歉"] and pairs.openings("... 12") == [] and len(pairs.openings("w " * 9_000)[0].split()) == pairs.WORDS
+
+
 def test_templates_follow_links(spark):
     base = [f"w{i}" for i in range(24)]
     texts = [" ".join([*base[: 24 - i], *[f"v{j}" for j in range(i)]]) for i in range(2)] + ["quite another opening of five words and more"]
@@ -144,8 +169,10 @@ def test_templates_follow_links(spark):
     assert got[texts[0]] == got[texts[1]] == min(texts[:2]) and got[texts[2]] == texts[2]
 
 
-def test_templates_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("heavy", [10_000, 5])
+def test_templates_are_those_of_all_pairs(spark, monkeypatch, heavy):
     """Pairs of openings around one stock middle, each pair alike, and openings that share much but too little."""
+    monkeypatch.setattr(pairs, "HEAVY", heavy)
     rng = random.Random(3)
     stock = [f"s{i}" for i in range(16)]
     texts = []
