@@ -81,6 +81,7 @@ CASES = {
     5: ("音阶很好。我们喜欢音阶。", {"music"}),
     6: ("A pitch contour moves. The pitch contours end.", {"music"}),
     7: ("The REFEREE came. Melodies and melodyx don't count. referee!", {"sport"}),
+    13: ("From pitch to melody, bass clef and verdict it goes. The melody again.", {"music"}),
     8: (None, set()), 9: ("", set()), 10: ("  \n", set()),
     11: ("plain. " * 20_000 + "melody. bass clef.", {"music"}),
     12: ("The verdict stands.The plaintiff left.", {"law"}),
