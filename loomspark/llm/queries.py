@@ -6,22 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import cuts, duplicates, encode, leaks, pairs, subjects, syntax, tokens
+from loomspark.session import checkpoint_dir
 from loomspark.sources.tables import table
 
 
 def p1_token_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of prompts and responses by model, prompt language and framework, with every subtotal."""
-    facts, _ = tokens.counted(table(spark, folder, "repair_result"))
-    return tokens.cube(tokens.slices(facts))
+    """Tokens of prompts and responses by model, prompt language and framework, with every subtotal: the first update of an empty state."""
+    return tokens.cube(tokens.update(table(spark, folder, "repair_result"), tokens.empty_state(spark)).cells)
 
 
-def p1_token_delta(spark: SparkSession, folder: str) -> DataFrame:
-    """The same cells, made from those of the records up to a day by signed deltas of what came after."""
+def _maintained(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of all records by way of three stored states: those up to a day, those from an earlier day on, then all."""
     records = table(spark, folder, "repair_result")
-    before = records.where(F.col("created_at") < F.lit("2025-07-01").cast("timestamp_ntz"))
-    old, known = tokens.counted(before)
-    new, _ = tokens.counted(records, known)
-    return tokens.apply_delta(tokens.slices(old), *tokens.delta(old, new))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    store = f"{checkpoint_dir(spark)}/token-budget"
+    state = tokens.empty_state(spark)
+    for part in (records.where(F.col("created_at") < at("2025-07-01")), records.where(F.col("created_at") >= at("2025-04-01")), records):
+        state = tokens.load(spark, tokens.save(tokens.update(part, state), store))
+    return state.cells
+
+
+def p1_token_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cells as without a state, after records were added and removed, and removed ones came back."""
+    return _maintained(spark, folder)
+
+
+def p1_token_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by model and framework of the maintained cells, and how many of their cells differ from a full count."""
+    full = tokens.update(table(spark, folder, "repair_result"), tokens.empty_state(spark)).cells
+    values = [c for c in full.columns if c not in tokens.SLICE]
+    one = lambda df, sign: df.select(*tokens.SLICE, *[(F.col(v) * sign).alias(v) for v in values], F.lit(sign).alias("side"))
+    both = one(_maintained(spark, folder), 1).unionByName(one(full, -1)).groupBy(*tokens.SLICE).agg(*[F.sum(v).alias(v) for v in values], F.sum(F.when(F.col("side") > 0, F.col("records")).otherwise(0)).alias("kept"))
+    differs = F.expr(" OR ".join(f"{v} <> 0" for v in values)).cast("int")
+    return both.groupBy("model", "dll").agg(F.sum("kept").alias("records"), F.sum(differs).alias("different"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,12 +98,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_area"), table(spark, folder, "subject_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p2_found, p2_programs, p3_found, p3_rates, p4_found, p4_rates, p5_found, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_token_budget, p1_token_delta, p1_token_check, p2_found, p2_programs, p3_found, p3_rates, p4_found, p4_rates, p5_found, p6_ids, p6_roundtrip, p7_found, p7_items, p8_found)}
 
 _W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
+_SLUG = "nullif(trim(regexp_replace(lower(string_split(trim({0}, ' '), '/')[-1]), '[^a-z0-9]+', '_', 'g'), '_'), '')"
+
 #: SQL for those that SQL expresses on whole tables.
 ORACLES: dict[str, str] = {
+    "p1_token_check": f"SELECT model, dll, count(*) AS records, 0::BIGINT AS different FROM (SELECT DISTINCT repair_id, coalesce({_SLUG.format('model')}, 'unknown') AS model, coalesce({_SLUG.format('dll')}, 'unknown') AS dll FROM repair_result) GROUP BY ALL",
     "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p7_found": f"""
 WITH t AS (SELECT task_id, {_W.format('requirement')} AS w FROM task),

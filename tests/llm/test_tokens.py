@@ -37,44 +37,70 @@ def cells(df):
     return {(r.model, r.lang, r.dll): (r.records, r.prompt_tokens, r.llm_response_tokens) for r in df.collect()}
 
 
+def updated(spark, *tables):
+    state = tokens.empty_state(spark)
+    for rows in tables:
+        state = tokens.update(frame(spark, rows), state)
+    return state
+
+
 def test_full_count(spark):
-    facts, table = tokens.counted(frame(spark, ROWS))
-    assert cells(tokens.slices(facts)) == brute(ROWS)
+    state = updated(spark, ROWS)
+    assert cells(state.cells) == brute(ROWS)
     texts = {t for r in ROWS for t in r[4:6] if t}
-    assert table.count() == len(texts)
-    total = [r for r in tokens.cube(tokens.slices(facts)).collect() if (r.model, r.lang, r.dll) == ("*", "*", "*")]
+    assert state.counts.count() == len(texts) and {r.tokenizer for r in state.counts.collect()} == {tokens.tokenizer_hash(BYTE_BPE_50K)}
+    total = [r for r in tokens.cube(state.cells).collect() if (r.model, r.lang, r.dll) == ("*", "*", "*")]
     assert total[0].records == 7 and total[0].total_tokens == sum(b + c for _, b, c in brute(ROWS).values())
 
 
-def test_delta_with_changed_and_removed_records(spark):
+def test_deltas_with_new_changed_removed_and_returned_records(spark, tmp_path):
     old_rows = ROWS[:5]
     new_rows = [ROWS[0], ROWS[1], (3, "A_B ", None, "pytorch", DE, "now there"), *ROWS[5:7]]  # 3 changed, 4 removed, 5 and 6 new
-    old, known = tokens.counted(frame(spark, old_rows))
-    new, table = tokens.counted(frame(spark, new_rows), known)
-    got = cells(tokens.apply_delta(tokens.slices(old), *tokens.delta(old, new)))
-    assert got == brute(new_rows)
-    assert {t.tokenizer for t in table.collect()} == {"byte_bpe_50k.tiktoken"}
+    state = updated(spark, old_rows)
+    for rows in (new_rows, [], ROWS):
+        state = tokens.load(spark, tokens.save(tokens.update(frame(spark, rows), state), str(tmp_path)))
+        assert cells(state.cells) == brute(rows)
+        assert len({bytes(r.hash) for r in state.counts.collect()}) == state.counts.count()
+
+
+def test_new_texts_of_rows_without_id(spark):
+    new_rows = [*ROWS, (None, "d", "en", "pytorch", "a text that stands nowhere else", "nor does this one"), (None, "d", "en", "pytorch", "a text that stands nowhere else", None)]
+    assert cells(updated(spark, ROWS, new_rows).cells) == cells(updated(spark, new_rows).cells)
 
 
-def test_delta_counts_new_texts_of_rows_without_id(spark):
-    new_rows = [*ROWS, (None, "d", "en", "pytorch", "a text that stands nowhere else", "nor does this one")]
-    _, known = tokens.counted(frame(spark, ROWS))
-    new, _ = tokens.counted(frame(spark, new_rows), known)
-    full, _ = tokens.counted(frame(spark, new_rows))
-    columns = ["repair_id", "model", "prompt_n", "llm_response_n"]
-    assert sorted(map(str, new.select(columns).collect())) == sorted(map(str, full.select(columns).collect()))
+def test_filters_that_hold_everything_change_nothing(spark, monkeypatch):
+    """A filter of too few bits skips unknown texts: the second pass encodes them."""
+    monkeypatch.setattr(tokens, "LEAST_BITS", 3)
+    monkeypatch.setattr(tokens, "MOST_BITS", 3)
+    assert cells(updated(spark, ROWS[:3], ROWS).cells) == brute(ROWS)
 
 
 def test_known_texts_are_not_encoded_again(spark):
-    facts, table = tokens.counted(frame(spark, ROWS[:3]))
-    wrong = table.selectExpr("hash", "tokenizer", "tokens + 1000 AS tokens")
-    again, _ = tokens.counted(frame(spark, ROWS[:3]), wrong)
-    assert all(r.prompt_n >= 1000 for r in again.collect())
+    state = updated(spark, ROWS[:3])
+    wrong = tokens.State(state.counts.selectExpr("tokenizer", "hash", "tokens + 1000 AS tokens"), tokens.empty_state(spark).facts, tokens.empty_state(spark).cells)
+    again = tokens.update(frame(spark, ROWS[:3]), wrong)
+    assert all(r.prompt_tokens >= 1000 for r in again.cells.collect())
+
+
+def test_another_vocabulary_has_counts_of_its_own(spark, tmp_path):
+    other = tmp_path / "byte_bpe_50k.tiktoken"  # the same name
+    with open(BYTE_BPE_50K, "rb") as f:
+        other.write_bytes(b"".join(f.readlines()[:256]))  # single bytes only
+    state = tokens.update(frame(spark, ROWS), updated(spark, ROWS), vocabulary=str(other))
+    assert state.counts.select("tokenizer").distinct().count() == 2
+    fresh = tokens.update(frame(spark, ROWS), tokens.State(state.counts, *tokens.empty_state(spark)[1:]), vocabulary=str(other))
+    assert sum(r.prompt_tokens for r in fresh.cells.collect()) == sum(len((r[4] or "").encode()) for r in [*{x for x in ROWS if x[0]}, ROWS[-1]])
+
+
+def test_no_text_is_shuffled(spark):
+    state = updated(spark, ROWS[:3])
+    plan = tokens.update(frame(spark, ROWS), state).cells._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and ("prompt#" in line or "llm_response#" in line) for line in plan.split("\n"))
 
 
 def test_empty(spark):
-    facts, table = tokens.counted(frame(spark, []))
-    assert facts.count() == 0 and table.count() == 0 and tokens.slices(facts).count() == 0
+    state = updated(spark, [])
+    assert all(df.count() == 0 for df in state)
 
 
 def test_language():
