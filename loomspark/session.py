@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,31 @@ def session(name: str = "loomspark", cores: str = "*", shuffle_partitions: int =
     )
 
 
+#: Temporary folders of sessions on one machine that were given none.
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; only where none is set, a temporary one (single machine, tests)."""
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    """The session's shared folder, in spark.checkpoint.dir. On a single machine without one, a temporary folder; on a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _OWN.get(spark.sparkContext.applicationId)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='loomspark-checkpoint-')}")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes a result that is read more than once to the shared folder and cuts its lineage; survives lost executors."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, but as a Parquet table, so that later filters and columns reach the scan."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
