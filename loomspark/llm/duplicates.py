@@ -4,6 +4,8 @@ Each program becomes the sequence of its words, with the free orders sorted, and
 marks its hashes in two blocked Bloom filters, of hashes seen once and seen again; the filters are merged block by
 block (a block's bits that two partitions both have among the once-seen are seen again). Hashes outside of the merged
 filter of repeats occur once for certain and are emitted as singletons; the others are shuffled and grouped exactly.
+The filter grows with the records, so that it lets through the same share at every size; it goes out in waves of blocks
+of a bounded size, each of which meets the hashes of its own blocks only.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators.skew import with_group_values
-from loomspark.session import cut
+from loomspark.session import cut, stored
 
 #: Signs written wide stand for the plain ones.
 _WIDE = str.maketrans("，（）：；＝｛｝［］", ",():;={}[]")
@@ -163,9 +165,9 @@ def canonical(code: str | None, language: str) -> str:
 
 
 BLOCK_BITS = 32768
-#: Bits of the filters: 12 a record, within these bounds. Beyond the upper one the filter lets more singletons through
-#: to the exact grouping; the result is the same. A filter of the upper size has 32 MB.
-LEAST_BLOCKS, MOST_BLOCKS, BITS_A_RECORD, PROBES = 4, 8192, 12, 4
+#: Bits of the filters: 12 a record or more. WAVE blocks (32 MB) are broadcast at once; pieces of a block are merged in
+#: MERGES parts before the last merge.
+LEAST_BLOCKS, WAVE, BITS_A_RECORD, PROBES, MERGES = 4, 8192, 12, 4, 64
 
 
 def hashes(records: DataFrame) -> DataFrame:
@@ -189,8 +191,7 @@ def hashes(records: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: int) -> int:
-    need = max(1, rows * BITS_A_RECORD // BLOCK_BITS)
-    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (need - 1).bit_length()))
+    return max(LEAST_BLOCKS, 1 << (max(1, rows * BITS_A_RECORD // BLOCK_BITS) - 1).bit_length())
 
 
 def repeat_filter(found: DataFrame, blocks: int) -> DataFrame:
@@ -241,9 +242,27 @@ def repeat_filter(found: DataFrame, blocks: int) -> DataFrame:
                 once, again = o, a
             else:
                 once, again = once | o, again | a | (once & o)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [again.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "pair": [zlib.compress(np.stack([once, again]).tobytes(), 1)]})
 
-    return found.select("h1", "h2").mapInArrow(mark, "block bigint, pair binary").groupBy("block").applyInPandas(merge, "block bigint, bits binary")
+    def last(pdf):
+        import zlib
+
+        pdf = merge(pdf)
+        return pdf.assign(bits=[zlib.decompress(x)[BLOCK_BITS // 8 :] for x in pdf["pair"]])[["block", "bits"]]
+
+    pieces = found.select("h1", "h2").mapInArrow(mark, "block bigint, pair binary").withColumn("part", F.spark_partition_id() % MERGES)
+    merged = pieces.groupBy("block", "part").applyInPandas(merge, "block bigint, pair binary")
+    return merged.groupBy("block").applyInPandas(last, "block bigint, bits binary")
+
+
+def _hit() -> Column:
+    """Whether a block's bits hold a hash at all of its places."""
+    hit = None
+    for k in range(PROBES):
+        byte = F.conv(F.hex(F.expr(f"substring(bits, cast((shiftrightunsigned(h2, {15 * k}) & {BLOCK_BITS - 1}L) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        test = byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast(shiftrightunsigned(h2, {15 * k}) & 7L as int)) as int)")) > 0
+        hit = test if hit is None else hit & test
+    return hit
 
 
 def canonical_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,19 +270,21 @@ def canonical_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Both have repair_id, h1, h2. Repeated deliveries of one repair_id are one record.
     """
-    found = cut(hashes(records))
+    # in the order of waves within each partition, so that a wave reads only its own row groups
+    blocks = _blocks(records.count())
+    waves = max(1, blocks // WAVE)
+    found = hashes(records).withColumn("block", F.expr(f"pmod(h1, {blocks}L)")).withColumn("wave", F.expr(f"cast(block div {WAVE} as int)"))
+    found = stored(found.sortWithinPartitions("wave") if waves > 1 else found)
     rows = found.count()
-    blocks = _blocks(rows)
-    bits = cut(repeat_filter(found, blocks))
-    probe = found.withColumn("block", F.expr(f"pmod(h1, {blocks}L)")).join(F.broadcast(bits), "block", "left")
-    tests = []
-    for k in range(PROBES):
-        byte = F.conv(F.hex(F.expr(f"substring(bits, cast((shiftrightunsigned(h2, {15 * k}) & {BLOCK_BITS - 1}L) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        tests.append(byte.bitwiseAND(F.expr(f"cast(shiftleft(1, cast(shiftrightunsigned(h2, {15 * k}) & 7L as int)) as int)")) > 0)
-    hit = tests[0]
-    for t in tests[1:]:
-        hit = hit & t
-    marked = probe.withColumn("again", F.coalesce(hit, F.lit(False)))
+    bits = stored(repeat_filter(found, blocks).withColumn("wave", F.expr(f"cast(block div {WAVE} as int)")))
+    marked = None
+    for wave in range(waves):
+        part, held = (found, bits) if waves == 1 else (found.where(F.col("wave") == wave), bits.where(F.col("wave") == wave))
+        one = part.join(F.broadcast(held.select("block", "bits")), "block", "left").withColumn("again", F.coalesce(_hit(), F.lit(False)))
+        one = one.select("repair_id", "h1", "h2", "again")
+        marked = one if marked is None else marked.unionByName(one)
+    if waves > 1:
+        marked = stored(marked)
     again = marked.where("again").select("repair_id", "h1", "h2").distinct()
     again = cut(again.withColumn("key", F.struct("h1", "h2")))
     grouped = with_group_values(again, "key", {"first_id": F.min("repair_id"), "copies": F.count("*")}, max(1, rows)).drop("key")

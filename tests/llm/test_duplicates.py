@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loomspark.llm import duplicates as D
 
 CODE = 'import torch\nimport json\n\nconf = dict(run="r1", rate=0.5)\nx = nn.Linear(in_features=8, out_features=16)\ny = f(x, a=g(p=1, q=2), b=3)\n'
@@ -63,6 +65,18 @@ def test_filter_misses_no_repeat(spark):
         assert passed < 300  # false positives only cost a shuffle
 
 
+@pytest.mark.parametrize("wave", [8192, 2])
+def test_waves_let_through_as_little(spark, monkeypatch, wave):
+    """100,000 records against waves of one block or few: the same groups, and under two per cent of the rest let through."""
+    monkeypatch.setattr(D, "WAVE", wave)
+    n = 100_000 if wave > 2 else 20_000
+    rows = spark.range(n).selectExpr("id AS repair_id", "'a.py' AS filename", f"concat('v', if(id < 400, id div 2, id), ' = 1') AS repaired_code").repartition(8)
+    monkeypatch.setattr(D, "BITS_A_RECORD", 12)
+    grouped, single = D.canonical_groups(rows)
+    assert {(r.first_id, r.copies) for r in grouped.where("copies > 1").collect()} == {(i, 2) for i in range(0, 400, 2)}
+    assert grouped.count() + single.count() == n and grouped.where("copies = 1").count() < 0.02 * n
+
+
 def test_groups_with_a_hot_one(spark):
     rng = random.Random(2)
     rows = [(i, "a.py", "x = 1" if i % 3 == 0 else f"y = {rng.randrange(150)}", 5) for i in range(1, 600)]
