@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from loomspark.llm.prose import slug
 from loomspark.session import cut
 
-#: Lengths in bytes of the contexts; of the hashed counters, the bits of their number and those of a segment.
-ORDERS, BITS, SEGMENT = (4, 8, 16), 21, 1 << 17
-#: The filter has at least 16 bits a context up to 2^28 (32 MB); beyond, more false places go to the exact counts.
-FILTER_BITS, LEAST_FILTER, MOST_FILTER, FILTER_SEGMENT = 16, 16, 28, 1 << 17
+#: Lengths in bytes of the contexts.
+ORDERS = (4, 8, 16)
+#: The filter has 16 bits a context; those of more than 2^28 bits (32 MB) go out one after the other, each for its share of
+#: the contexts. Segments of a filter are merged in MERGES parts before the last merge.
+FILTER_BITS, LEAST_FILTER, MOST_FILTER, FILTER_SEGMENT, MERGES = 16, 16, 28, 1 << 17, 64
 #: Stands before a text; no byte of UTF-8.
 GAP = b"\xff" * max(ORDERS)
 #: A context met less often gives way to a shorter one. A value doesn't count among the ends it is compared with;
@@ -38,8 +39,9 @@ MARKED = 2.0
 COLUMNS = ("llm_response", "repaired_code")
 #: Kinds of text that are counted apart: responses with and without a fenced block, and code by its language.
 GROUPS = ("fenced", "bare", "py", "json")
-#: Thresholds of the score lie in this range, at the emptiest place; where there are few values, at the middle.
-LOW, HIGH, STEP, MIDDLE = -0.3, 2.1, 0.3, 0.9
+#: Thresholds of the score lie in this range, at the emptiest place; among places with under EMPTY of the values, at that
+#: next to the middle. All languages of a column join a language's own values as PRIOR, whatever its number of values.
+LOW, HIGH, STEP, MIDDLE, EMPTY, PRIOR = -0.3, 2.1, 0.3, 0.9, 0.0005, 200
 
 _MARK = re.compile(r"\s*(?:\[(?:\.{3}|…|cut|truncated|snip)\]|<(?:cut|truncated|snip)>|\((?:\.{3}|…|cut|truncated|snip)\)|\.{3}|…|�+)\s*\Z")
 LONGEST_MARK = 16
@@ -84,10 +86,6 @@ def _mixed(h: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bucket(h: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    return (_mixed(h, seed) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _seed(group: int) -> np.uint64:
     return np.uint64((group + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
@@ -96,56 +94,6 @@ def code_language(name: str | None) -> str:
     return "json" if name and name.strip().lower().endswith("json") else "py"
 
 
-class Counts:
-    """Hashed counts of contexts (0) and of contexts that end a text (1), by order; values and characters by group.
-
-    They are upper bounds, as contexts share counters; scores aren't made of them.
-    """
-
-    def __init__(self) -> None:
-        self.tables = np.zeros((2, len(ORDERS), 1 << BITS), np.int64)
-        self.sizes = np.zeros((len(GROUPS), 2), np.int64)
-
-    def add(self, texts: list[bytes], groups: list[int]) -> None:
-        gap = b"\0" * max(ORDERS)
-        lengths = np.array([len(t) + len(gap) for t in texts])
-        if not len(lengths):
-            return
-        data = np.frombuffer(b"".join([x for t in texts for x in (gap, t)]), np.uint8)
-        ends = np.cumsum(lengths) - 1
-        seeds = np.array([_seed(g) for g in groups], np.uint64)
-        at = np.repeat(seeds, lengths)
-        inside = data != 0
-        for k, (order, h) in enumerate(_rolling(data).items()):
-            self.tables[0, k] += np.bincount(_bucket(h[inside], at[inside]), minlength=1 << BITS)
-            self.tables[1, k] += np.bincount(_bucket(h[ends], seeds), minlength=1 << BITS)
-        for g, t in zip(groups, texts):
-            self.sizes[g] += (1, len(t))
-
-    def rows(self) -> Iterator[tuple[int, int, bytes]]:
-        for a in range(2):
-            for k in range(len(ORDERS)):
-                for s in range(0, 1 << BITS, SEGMENT):
-                    part = self.tables[a, k, s : s + SEGMENT]
-                    if part.any():
-                        yield a * len(ORDERS) + k, s // SEGMENT, zlib.compress(part.tobytes(), 1)
-        yield -1, 0, zlib.compress(self.sizes.tobytes(), 1)
-
-
-class Model:
-    """Summed hashed counts."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
-        self.tables = np.zeros((2, len(ORDERS), 1 << BITS), np.float32)
-        self.sizes = np.zeros((len(GROUPS), 2), np.int64)
-        for table, segment, raw in rows:
-            values = np.frombuffer(zlib.decompress(raw), np.int64)
-            if table < 0:
-                self.sizes = values.reshape(-1, 2)
-            else:
-                self.tables[table // len(ORDERS), table % len(ORDERS), segment * SEGMENT : segment * SEGMENT + SEGMENT] = values
-
-
 def _probes(mixed: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """Three places in a filter of 2^bits; the hash's order is part of what was mixed."""
     yield mixed >> np.uint64(64 - bits)
@@ -267,11 +215,11 @@ def _ends(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return _source(records, columns).mapInArrow(run, "repair_id bigint, field string, language string, marked boolean, verdict int, kind int, tail binary, size bigint")
 
 
-def _filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+def _filter(wanted: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """The filter of the contexts and the bits of its size; what reaches the driver is 32 MB at most."""
     import pandas as pd
 
-    bits = min(max((FILTER_BITS * wanted.count()).bit_length(), LEAST_FILTER), MOST_FILTER)
+    bits = min(max((FILTER_BITS * size).bit_length(), LEAST_FILTER), MOST_FILTER)
     length = (1 << bits) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +246,9 @@ def _filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"s": [pdf["s"].iloc[0]], "c": [zlib.compress(total.tobytes(), 1)]})
 
     held = np.zeros(length, np.uint8)
-    for s, c in wanted.select("kind", "context").mapInArrow(run, "s int, c binary").groupBy("s").applyInPandas(merge, "s int, c binary").collect():
+    pieces = wanted.select("kind", "context").mapInArrow(run, "s int, c binary").withColumn("part", F.spark_partition_id() % MERGES)
+    merged = pieces.groupBy("s", "part").applyInPandas(merge, "s int, c binary")
+    for s, c in merged.groupBy("s").applyInPandas(merge, "s int, c binary").collect():
         part = np.frombuffer(zlib.decompress(bytes(c)), np.uint8)
         held[s : s + len(part)] = part
     return held, bits
@@ -311,22 +261,29 @@ def context_counts(records: DataFrame, ends: DataFrame, columns: tuple[str, ...]
     each = each.unionByName(each.where(F.col("kind") == bare).select(F.lit(fenced).alias("kind"), "tail", F.lit(0).cast("long").alias("here")))
     contexts = F.explode(F.array(*[F.expr(f"substring(tail, {1 - o + len(GAP)}, {o})") for o in ORDERS])).alias("context")
     wanted = cut(each.select("kind", "here", contexts).groupBy("kind", "context").agg(F.sum("here").alias("here")))
-    held = records.sparkSession.sparkContext.broadcast(_filter(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, names, responses, codes in _batches(batch):
-                texts: dict[int, list[bytes]] = {}
-                for _, _, text, _, group in _values(names, responses, codes, columns):
-                    texts.setdefault(group, []).append(_bytes(text))
-                for group, own in texts.items():
-                    for found, counts in occurrences(own, group, *held.value):
-                        n, order = found.shape
-                        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(order), n, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int32)), key, pa.array(counts.astype(np.int64))], names=["kind", "context", "n"])
-
-    everywhere = _source(records, columns).mapInArrow(run, "kind int, context binary, n bigint").groupBy("kind", "context").agg(F.sum("n").alias("n"))
-    return wanted.join(everywhere, ["kind", "context"], "left").select("kind", "context", "here", F.coalesce("n", F.lit(0)).alias("everywhere"))
+    size = wanted.count()
+    shares = max(1, -(-size * FILTER_BITS // (1 << MOST_FILTER)))
+    everywhere = None
+    for share in range(shares):
+        own = wanted if shares == 1 else wanted.where(F.expr(f"pmod(xxhash64(kind, context), {shares}) = {share}"))
+        held = records.sparkSession.sparkContext.broadcast(_filter(own, -(-size // shares)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, names, responses, codes in _batches(batch):
+                    texts: dict[int, list[bytes]] = {}
+                    for _, _, text, _, group in _values(names, responses, codes, columns):
+                        texts.setdefault(group, []).append(_bytes(text))
+                    for group, own in texts.items():
+                        for found, counts in occurrences(own, group, *held.value):
+                            n, order = found.shape
+                            key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(order), n, [None, pa.py_buffer(found.tobytes())]).cast(pa.binary())
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int32)), key, pa.array(counts.astype(np.int64))], names=["kind", "context", "n"])
+
+        counted = _source(records, columns).mapInArrow(run, "kind int, context binary, n bigint").groupBy("kind", "context").agg(F.sum("n").alias("n"))
+        counted = own.join(counted, ["kind", "context"], "left").select("kind", "context", "here", F.coalesce("n", F.lit(0)).alias("everywhere"))
+        everywhere = counted if everywhere is None else everywhere.unionByName(counted)
+    return everywhere
 
 
 def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -354,20 +311,24 @@ def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
 
 
 def thresholds(values: DataFrame) -> dict[tuple[str, str], float]:
-    """For each language and column, the emptiest place of the scores between LOW and HIGH; ties go to the middle."""
-    near = values.where(f"score >= {LOW} AND score < {HIGH}").groupBy("language", "field", F.floor((F.col("score") - LOW) / STEP).cast("int").alias("bin")).count()
-    total = {(r[0], r[1]): r[2] for r in values.groupBy("language", "field").count().collect()}
-    bins: dict[tuple[str, str], dict[int, int]] = {}
-    for r in near.collect():
-        bins.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+    """For each language and column, the emptiest place of the scores between LOW and HIGH, nearly empty ones being alike.
+
+    A place's density is that among the language's values and, weighing as PRIOR values, that among all of the column's.
+    """
+    place = F.when((F.col("score") >= LOW) & (F.col("score") < HIGH), F.floor((F.col("score") - LOW) / STEP).cast("int"))
+    own: dict[tuple[str, str], dict[int | None, int]] = {}
+    column: dict[str, dict[int | None, int]] = {}
+    for language, field, k, n in values.groupBy("language", "field", place.alias("k")).count().collect():  # a few a language
+        own.setdefault((language, field), {})[k] = n
+        all_ = column.setdefault(field, {})
+        all_[k] = all_.get(k, 0) + n
+    at = [LOW + STEP * (i + 0.5) for i in range(round((HIGH - LOW) / STEP))]
     out = {}
-    for key, n in total.items():
-        have = bins.get(key, {})
-        at = [LOW + STEP * (i + 0.5) for i in range(round((HIGH - LOW) / STEP))]
-        if n < 200:
-            out[key] = MIDDLE
-        else:
-            out[key] = at[min(range(len(at)), key=lambda i: (have.get(i, 0) // max(1, n // 2000), abs(at[i] - MIDDLE)))]
+    for key, have in own.items():
+        all_, n = column[key[1]], sum(have.values())
+        total = sum(all_.values())
+        density = [(have.get(i, 0) + PRIOR * all_.get(i, 0) / total) / (n + PRIOR) for i in range(len(at))]
+        out[key] = at[min(range(len(at)), key=lambda i: (max(density[i], EMPTY), abs(at[i] - MIDDLE)))]
     return out
 
 

@@ -65,19 +65,20 @@ def test_marks_fences_headers():
     assert cuts.quoted(code, text) is False and cuts.quoted(code[:-3], text) is True and cuts.quoted("other" * 10, text) is None and cuts.quoted(code, None) is None
 
 
-def test_counts_add_up():
-    a, b, whole = cuts.Counts(), cuts.Counts(), cuts.Counts()
-    texts = [b"abc. abc.", "é中".encode(), b"x" * 40, b"a"]
-    a.add(texts[:2], [0, 1])
-    b.add(texts[2:], [0, 3])
-    whole.add(texts, [0, 1, 0, 3])
-    assert (a.tables + b.tables == whole.tables).all() and whole.tables[0, 0].sum() == sum(map(len, texts)) and whole.tables[1, 0].sum() == 4
-    model = cuts.Model(list(whole.rows()))
-    assert (model.tables == whole.tables).all() and (model.sizes == whole.sizes).all()
-
-
-def test_scores_are_of_exact_counts(spark):
-    """Texts of far more contexts than there are hashed counters could keep apart."""
+def test_thresholds_move_little_with_few_values(spark):
+    """One rule at every number of values: a language with few values takes nearly the column's place."""
+    many = [("en", 0.8 + 0.001 * (i % 3), "llm_response") for i in range(300)] + [("en", s, "llm_response") for s in [-2.0] * 400 + [4.0] * 4000]
+    limit = {n: cuts.thresholds(spark.createDataFrame(many + [("de", s, "llm_response") for s in ([4.0] * 9 + [-1.0]) * n], "language string, score double, field string")) for n in (1, 19, 21, 200)}
+    assert len({x["en", "llm_response"] for x in limit.values()}) == 1 and len({x["de", "llm_response"] for n, x in limit.items() if n < 100}) == 1
+    assert abs(limit[1]["en", "llm_response"] - 0.8) > cuts.STEP / 2
+    assert cuts.thresholds(spark.createDataFrame([("en", 5.0, "x")], "language string, score double, field string")) == {("en", "x"): min((cuts.LOW + cuts.STEP * (i + 0.5) for i in range(8)), key=lambda v: abs(v - cuts.MIDDLE))}
+
+
+@pytest.mark.parametrize("most", [28, 12])
+def test_scores_are_of_exact_counts(spark, monkeypatch, most):
+    """Counts of texts of very many contexts, by one filter and by several for a share each."""
+    monkeypatch.setattr(cuts, "MOST_FILTER", most)
+    monkeypatch.setattr(cuts, "LEAST_FILTER", min(most, 16))
     rng = random.Random(7)
     letters = "abcdefghijklmnopqrstuvwxyzäöü()=,.: "
     texts = ["".join(rng.choices(letters, k=1500)).strip() + rng.choice([" done.", " and so on", "x", rng.choice(letters[:20]) + " whole text ends here."]) for _ in range(300)]
