@@ -39,8 +39,8 @@ MARKED = 2.0
 COLUMNS = ("llm_response", "repaired_code")
 #: Kinds of text that are counted apart: responses with and without a fenced block, and code by its language.
 GROUPS = ("fenced", "bare", "py", "json")
-#: Thresholds of the score lie in this range, at the emptiest place; among places with under EMPTY of the values, at that
-#: next to the middle. All languages of a column join a language's own values as PRIOR, whatever its number of values.
+#: Thresholds of the score lie in this range, at the emptiest place; a place one away from the middle must have EMPTY of the
+#: values less. All languages of a column join a language's own values as PRIOR, whatever its number of values.
 LOW, HIGH, STEP, MIDDLE, EMPTY, PRIOR = -0.3, 2.1, 0.3, 0.9, 0.0005, 200
 
 _MARK = re.compile(r"\s*(?:\[(?:\.{3}|…|cut|truncated|snip)\]|<(?:cut|truncated|snip)>|\((?:\.{3}|…|cut|truncated|snip)\)|\.{3}|…|�+)\s*\Z")
@@ -311,9 +311,10 @@ def scored(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
 
 
 def thresholds(values: DataFrame) -> dict[tuple[str, str], float]:
-    """For each language and column, the emptiest place of the scores between LOW and HIGH, nearly empty ones being alike.
+    """For each language and column, the emptiest place of the scores between LOW and HIGH, near to MIDDLE.
 
-    A place's density is that among the language's values and, weighing as PRIOR values, that among all of the column's.
+    A place's density is that among the language's values and, weighing as PRIOR values, that among all of the column's;
+    its neighbours count half.
     """
     place = F.when((F.col("score") >= LOW) & (F.col("score") < HIGH), F.floor((F.col("score") - LOW) / STEP).cast("int"))
     own: dict[tuple[str, str], dict[int | None, int]] = {}
@@ -328,7 +329,9 @@ def thresholds(values: DataFrame) -> dict[tuple[str, str], float]:
         all_, n = column[key[1]], sum(have.values())
         total = sum(all_.values())
         density = [(have.get(i, 0) + PRIOR * all_.get(i, 0) / total) / (n + PRIOR) for i in range(len(at))]
-        out[key] = at[min(range(len(at)), key=lambda i: (max(density[i], EMPTY), abs(at[i] - MIDDLE)))]
+        near = [density[0], *density, density[-1]]
+        smooth = [(a + 2 * b + c) / 4 for a, b, c in zip(near, near[1:], near[2:])]
+        out[key] = at[min(range(len(at)), key=lambda i: (smooth[i] + EMPTY * abs(at[i] - MIDDLE), i))]
     return out
 
 
