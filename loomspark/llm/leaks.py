@@ -4,15 +4,18 @@ The test items are a BM25 inverted index with block maxima. Every passage of eve
 twice the run looked for, one run apart, so that each run of words lies whole in some window; where no run of indexed
 words lies in a window, its bound is nothing and it is skipped. The score a run of the
 item must at least give its passage is that item's threshold, so that the search by block-max WAND loses none; what
-it retrieves is verified word by word, and against the item's answer.
+it retrieves is verified word by word, and against the item's answer. One scan of the documents serves all shards of the
+index that a task may hold at once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
-#: Fixed parameters: BM25 as usual, words of a run, postings of a block, and characters of one shard of the index.
-K1, B, RUN, BLOCK, SHARD_CHARS = 1.2, 0.75, 15, 16, 4_000_000
+#: Fixed parameters: BM25 as usual, words of a run, postings of a block, characters of one shard of the index, shards of a scan.
+K1, B, RUN, BLOCK, SHARD_CHARS, SHARDS = 1.2, 0.75, 15, 16, 4_000_000, 4
+
+
+#: Behind the last block of every list.
+END = 1 << 60
+_FIRST = itemgetter(0)
 
 
 def words(text: str | None) -> list[str]:
@@ -51,36 +59,53 @@ class Index:
             for t, x in weight.items():
                 postings[t].append((no, x / least))
         self.top = {t: max(x for _, x in p) for t, p in postings.items()}
-        #: of each term, by block of item numbers: the block's greatest weight and its weights
-        self.blocks: dict[str, dict[int, tuple[float, np.ndarray]]] = {}
+        #: of each term: its blocks of item numbers in order (with an end), their greatest weights and their weights
+        self.lists: dict[str, tuple[list[int], list[float], list[np.ndarray]]] = {}
         for t, p in postings.items():
             held: dict[int, np.ndarray] = {}
             for no, x in p:
                 held.setdefault(no // BLOCK, np.zeros(BLOCK))[no % BLOCK] = x
-            self.blocks[t] = {k: (float(v.max()), v) for k, v in held.items()}
+            self.lists[t] = ([*held, END], [float(v.max()) for v in held.values()], list(held.values()))
         self.codes = [{line.strip() for line in (a or "").splitlines() if len(line.strip()) >= 20} for _, _, a in self.items]
 
     def search(self, terms: set[str], least: float = 1 - 1e-9) -> list[int]:
-        """All items that score at least their threshold, by block-max WAND with pivots at the blocks' borders.
+        """All items that score at least their threshold, by block-max WAND over the terms' lists of blocks.
 
-        A block of items is a pivot where the block maxima of the query's lists together reach the threshold; only
-        pivots are scored, and where all lists' maxima together stay below it, nothing is.
+        Each list has a cursor. In the order of their blocks, the lists up to the first at which their greatest weights
+        together reach the threshold name the pivot; lists behind it skip to it. There the blocks' own maxima must reach
+        the threshold too before the block is scored, and the lists at it move on.
         """
         top = self.top
         known = [t for t in terms if t in top]
         if sum([top[t] for t in known]) < least:
             return []
-        bounds: dict[int, float] = defaultdict(float)
-        lists = [self.blocks[t] for t in known]
-        for blocks in lists:
-            for k, (most, _) in blocks.items():
-                bounds[k] += most
-        out = []
-        for k in sorted(bounds):
-            if bounds[k] >= least:
-                score = sum([blocks[k][1] for blocks in lists if k in blocks])
-                out += [k * BLOCK + int(i) for i in np.flatnonzero(score >= least)]
-        return out
+        out: list[int] = []
+        # [current block, greatest weight, blocks, maxima, weights, cursor]
+        live = [[self.lists[t][0][0], top[t], *self.lists[t], 0] for t in known]
+        while True:
+            live.sort(key=_FIRST)
+            bound, pivot = 0.0, END
+            for x in live:
+                bound += x[1]
+                if bound >= least:
+                    pivot = x[0]
+                    break
+            if pivot == END:
+                return out
+            if live[0][0] == pivot:
+                here = [x for x in live if x[0] == pivot]
+                if sum([x[3][x[5]] for x in here]) >= least:
+                    score = sum([x[4][x[5]] for x in here])
+                    out += [pivot * BLOCK + int(i) for i in np.flatnonzero(score >= least)]
+                for x in here:
+                    x[5] += 1
+                    x[0] = x[2][x[5]]
+            else:
+                for x in live:
+                    if x[0] >= pivot:
+                        break
+                    x[5] = bisect_left(x[2], pivot, x[5])
+                    x[0] = x[2][x[5]]
 
     def _stretch(self, w: list[str], spans: list[tuple[int, int]], item: int) -> int:
         """Words of the longest stretch of the text all of whose runs are the item's."""
@@ -123,16 +148,24 @@ class Index:
 
 
 def _shards(items: DataFrame) -> int:
-    size = items.select(F.sum(F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0)))).first()[0] or 0
-    return max(1, math.ceil(size / SHARD_CHARS))
+    """Number of shards by hash of which none has more than SHARD_CHARS characters, but for an item longer by itself."""
+    size = F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0))
+    total, most = items.select(size.alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n = max(1, math.ceil((total or 0) / SHARD_CHARS))
+    while n > 1:
+        held = items.groupBy(F.expr(f"pmod(xxhash64(task_id), {n})")).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0]
+        if held <= max(SHARD_CHARS, 2 * most):
+            break
+        n *= 2
+    return n
 
 
 def leaks(documents: DataFrame, tasks: DataFrame, solutions: DataFrame | None = None) -> DataFrame:
     """(doc_id, task_id, run_words, answer_share): documents that hold RUN consecutive words of a task's requirement.
 
-    The items are indexed in shards of at most SHARD_CHARS characters; each shard is broadcast and meets every passage
-    of every document, whole. Items or documents that are null or shorter than a run give no rows; rows that repeat a
-    document or an item repeat no result; items with equal texts each come out. Other columns aren't read.
+    The items are indexed in shards of SHARD_CHARS characters; SHARDS of them are broadcast for one scan and meet every
+    passage of every document, whole. Items or documents that are null or shorter than a run give no rows; rows that
+    repeat a document or an item repeat no result; items with equal texts each come out. Other columns aren't read.
     """
     items = tasks.where("task_id IS NOT NULL").groupBy("task_id").agg(F.max("requirement").alias("q"))
     if solutions is None:
@@ -144,14 +177,16 @@ def leaks(documents: DataFrame, tasks: DataFrame, solutions: DataFrame | None =
     texts = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id bigint, task_id string, run_words int, answer_share double"
     found = None
-    for shard in range(n):
-        part = items.where(F.expr(f"pmod(xxhash64(task_id), {n}) = {shard}")).orderBy("task_id").select("task_id", "q", "a")
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most SHARD_CHARS by the shard count
+    for first in range(0, n, SHARDS):
+        held = []
+        for shard in range(first, min(n, first + SHARDS)):
+            part = items.where(F.expr(f"pmod(xxhash64(task_id), {n}) = {shard}")).orderBy("task_id").select("task_id", "q", "a")
+            held.append(spark.sparkContext.broadcast([tuple(r) for r in part.collect()]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            indexes = [Index(x.value) for x in held]
             for batch in batches:
-                rows = [(d, index.items[i][0], k, share) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, k, share in index.leaks(t)]
+                rows = [(d, index.items[i][0], k, share) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for index in indexes for i, k, share in index.leaks(t)]
                 columns = list(zip(*rows)) if rows else [[], [], [], []]
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "task_id", "run_words", "answer_share"])
