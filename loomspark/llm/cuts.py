@@ -29,6 +29,8 @@ ORDERS = (4, 8, 16)
 #: The filter has 16 bits a context; those of more than 2^28 bits (32 MB) go out one after the other, each for its share of
 #: the contexts. Segments of a filter are merged in MERGES parts before the last merge.
 FILTER_BITS, LEAST_FILTER, MOST_FILTER, FILTER_SEGMENT, MERGES = 16, 16, 28, 1 << 17, 64
+#: Bytes of text whose contexts are looked up at once.
+COUNTED = 1 << 17
 #: Stands before a text; no byte of UTF-8.
 GAP = b"\xff" * max(ORDERS)
 #: A context met less often gives way to a shorter one. A value doesn't count among the ends it is compared with;
@@ -106,26 +108,49 @@ def _order_seed(group: int, order: int) -> np.uint64:
     return np.uint64((int(_seed(group)) ^ order * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1)
 
 
-def _distinct(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(contexts: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of bytes and how often each occurs."""
-    words = contexts.view(np.uint32 if contexts.shape[1] == 4 else np.uint64)
-    words = words[np.lexsort(words.T)]
+    words = np.ascontiguousarray(contexts).view(np.uint32 if contexts.shape[1] == 4 else np.uint64)
+    order = np.argsort(words[:, 0], kind="stable") if words.shape[1] == 1 else np.lexsort(words.T)
+    words = words[order]
     starts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
-    return np.ascontiguousarray(words[starts]).view(np.uint8), np.diff(np.append(starts, len(words)))
+    sums = np.diff(np.append(starts, len(words))) if counts is None else np.add.reduceat(counts[order], starts)
+    return np.ascontiguousarray(words[starts]).view(np.uint8), sums
+
+
+def _holds(held: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).view(np.bool_)
+
+
+def _runs(texts: list[bytes], size: int = COUNTED) -> Iterator[np.ndarray]:
+    """The texts, each behind a gap, in arrays that stay in a processor's cache."""
+    held, n = [], 0
+    for t in texts:
+        held += (GAP, t)
+        n += len(t)
+        if n >= size:
+            yield np.frombuffer(b"".join(held), np.uint8)
+            held, n = [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8)
 
 
 def occurrences(texts: list[bytes], group: int, held: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(contexts, how often each occurs) by order, of those that pass the filter."""
-    data = np.frombuffer(b"".join([x for t in texts for x in (GAP, t)]), np.uint8)
-    inside = np.flatnonzero(data != GAP[0])
-    for order, h in _rolling(data).items():
-        at, mixed = inside, _mixed(h[inside], _order_seed(group, order))
-        for k in range(3):
-            place = next(p for i, p in enumerate(_probes(mixed, bits)) if i == k)
-            passed = (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-            at, mixed = at[passed], mixed[passed]
-        if len(at):
-            yield _distinct(np.lib.stride_tricks.sliding_window_view(data, order)[at - (order - 1)])
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for data in _runs(texts):
+        inside = data != GAP[0]
+        for order, h in _rolling(data).items():
+            at, mixed = None, _mixed(h, _order_seed(group, order))
+            for place in _probes(mixed, bits):
+                if at is None:
+                    at = np.flatnonzero(_holds(held, place) & inside)
+                else:
+                    at = at[_holds(held, place[at])]
+            if len(at):
+                found.setdefault(order, []).append(_distinct(np.lib.stride_tricks.sliding_window_view(data, order)[at - (order - 1)]))
+    for parts in found.values():
+        yield parts[0] if len(parts) == 1 else _distinct(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
 
 
 def _clean(code: str) -> str:
