@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,16 @@ def fence_match(t: Column) -> Column:
 
 
 def fence_regex(t: Column, lang: str = "python") -> Column:
-    """First fenced block with the language's tag, as it stands; any tag where lang is empty; NULL without one."""
-    pattern = rf"(?s){FENCE}{lang or r'\w+'}\s*(.*?){FENCE}"
-    return F.when(F.rlike(t, F.lit(pattern)), F.regexp_extract(t, pattern, 1))
+    """First fenced block with the language's tag, trimmed; with any tag or none where lang is empty; NULL without one."""
+    tag = re.escape(lang) if lang else r"(?:\w+)?"
+    pattern = rf"(?s){FENCE}{tag}\s*(.*?){FENCE}"
+    return F.when(F.rlike(t, F.lit(pattern)), F.regexp_replace(F.regexp_extract(t, pattern, 1), r"\A\s+|\s+\z", ""))
+
+
+def lines_of(t: Column) -> Column:
+    """Lines of a text as array<string>: any of the usual line ends parts them, and one at the end begins no further line."""
+    parts = F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def code_lines(t: Column) -> Column:
@@ -61,6 +70,12 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(last), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def slug_by_sign(name: Column) -> Column:
+    """The spelling that shell scripts give a name: each other sign an underscore of its own, none at the ends."""
+    last = F.regexp_replace(name, r"^.*/", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(last), "[^a-z0-9]", "_"), "^_*|_*$", "")
+
+
 def natural_key(t: Column, lower: bool = True) -> Column:
     """A string whose plain order is the natural order: runs of digits compare as numbers of up to 20 digits."""
     parts = F.regexp_extract_all(F.lower(t) if lower else t, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
@@ -86,6 +101,37 @@ def frames(t: Column) -> Column:
     return F.zip_with(files, lines, lambda f, n: F.struct(f.alias("file"), n.cast("int").alias("line")))
 
 
+def user_frames(t: Column) -> Column:
+    """Frames of a traceback that lie in a user's program, not in an installed package, the interpreter or generated code."""
+    return F.filter(frames(t), lambda f: ~F.rlike(f["file"], F.lit(r"(?:^<|site-packages/|dist-packages/|/lib/python\d)")))
+
+
+def crash(t: Column) -> Column:
+    """struct<crash_stage, line_no, crash_code> of a traceback's last user frame; NULL without one.
+
+    The stage is forward where that frame is a forward or call method, else init for a constructor, else other.
+    """
+    own = r'File "(?!<)(?![^"]*(?:site-packages/|dist-packages/|/lib/python\d))[^"]+", line (\d+), in ([^\n]+)\n[ \t]*([^\n]*)'
+    part = lambda k: F.try_element_at(F.regexp_extract_all(t, F.lit(own), F.lit(k)), F.lit(-1))
+    stage = F.when(part(2).isin("forward", "call"), "forward").when(part(2) == "__init__", "init").otherwise("other")
+    return F.when(F.rlike(t, F.lit(own)), F.struct(stage.alias("crash_stage"), part(1).cast("int").alias("line_no"), part(3).alias("crash_code")))
+
+
+def forward_local(t: Column) -> Column:
+    """Root cause of a crash at a call made directly in the forward pass; NULL where the crash lies elsewhere or in self.<name>(...)."""
+    at = crash(t)
+    local = (at["crash_stage"] == "forward") & F.rlike(at["crash_code"], F.lit(r"\w\s*\(")) & ~F.rlike(at["crash_code"], F.lit(r"\bself\.\w+(?:\.\w+|\[[^\]]*\])*\s*\("))
+    return F.when(
+        local,
+        F.struct(
+            at.alias("crash_location"),
+            F.struct(at["line_no"].alias("line_no"), at["crash_code"].alias("original_call")).alias("forward_definition"),
+            F.create_map().cast("map<string,string>").alias("init_definition"),
+            F.lit("Forward_Local_Crash").alias("root_cause_type"),
+        ),
+    )
+
+
 def conv_size(size: Column, kernel: Column, stride: Column, padding: Column, mode: str = "valid") -> Column:
     """Output size of a convolution or pooling along one axis; NULL where it isn't positive or the stride isn't."""
     out = {

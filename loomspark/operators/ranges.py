@@ -7,17 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, bucket: Column | None = None) -> DataFrame:
     """left with the right side's latest value at or before each row's time, NULL where there is none.
 
-    One shuffle on the keys: both sides are united and the value is carried forward in a window.
+    Both sides are united and the value is carried forward in a window of each key. With a bucket of the time (an
+    expression that grows with it), the windows are those of key and bucket, so that a hot key is many tasks' work; the
+    value before a bucket comes from the last ones of the buckets before it.
     """
     a = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in (*by, at)]
     b = right.select(*[F.col(c) for c in by], F.col(at), *empty, F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    w = W.partitionBy(*by).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = a.unionByName(b).withColumn(f"asof_{value}", F.last("_value", ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_side", "_value")
+    both = a.unionByName(b)
+    if bucket is None:
+        w = W.partitionBy(*by).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return both.withColumn(f"asof_{value}", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+    both = both.withColumn("_bucket", bucket)
+    # of equal times the last in the order of values, as in the window
+    ends = both.groupBy(*by, "_bucket").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(at).alias("t"), F.col("_value").alias("v"))))["v"].alias("_end"))
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).drop("_end")
+    w = W.partitionBy(*by, "_bucket").orderBy(at, "_side", F.col("_value").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = both.withColumn("_last", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
+    keys = [*by, "_bucket"]
+    before = before.select(*[F.col(c).alias(f"_key_{c}") for c in keys], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys]
+    return within.join(before, same, "left").drop(*[f"_key_{c}" for c in keys]).withColumn(f"asof_{value}", F.coalesce("_last", "_before")).drop("_side", "_value", "_bucket", "_last", "_before")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.session import cut
+from loomspark.session import cut, stored
 
 #: Queries of one block: a block of vectors of 64 numbers has 2 MB at most.
 BLOCK = 4096
@@ -29,20 +29,26 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
     """(query_id, other, score, rank): exact cosine neighbours of each query among all other vectors.
 
     Queries go out in blocks of a bounded size; each partition keeps its own best k of each query, and only these are
-    shuffled. Null vectors and vectors without length have no neighbours.
+    shuffled. Null vectors and vectors without length have no neighbours. Keys are numbers or strings, of one type.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType.simpleString()
+    same = pa.string() if kind == "string" else pa.int64()
+    kind = kind if kind == "string" else "bigint"
     found = None
     total = queries.where(F.col(value).isNotNull()).count()
     blocks = max(1, math.ceil(total / block))
     for no in range(blocks):
         part = queries.where(F.col(value).isNotNull()).where(F.expr(f"pmod(xxhash64({key}), {blocks}) = {no}"))
-        held = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in part.select(key, value).collect()])
+        rows_ = [(r[0], list(r[1])) for r in part.select(F.col(key).cast(kind), value).take(2 * block + 1)]
+        if len(rows_) > 2 * block:
+            raise ValueError("ids of the queries aren't distinct: a block has more than twice its size")
+        held = spark.sparkContext.broadcast(rows_)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
-            ids = np.array([i for i, _ in held.value], np.int64)
+            ids = np.array([i for i, _ in held.value])
             rows: list = []
             if len(ids):
                 q = np.array([v for _, v in held.value], float)
@@ -53,7 +59,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
-                other = batch.column(0).to_numpy(zero_copy_only=False)
+                other = np.array(batch.column(0).to_pylist())
                 lists = batch.column(1)
                 v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(other), -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
@@ -62,13 +68,13 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
                 keep = min(k, len(other))
                 best = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :keep]
                 for i in range(len(ids)):
-                    rows += [(int(ids[i]), int(other[j]), float(s[i, j])) for j in best[i] if s[i, j] > -2]
+                    rows += [(ids[i].item(), other[j].item(), float(s[i, j])) for j in best[i] if s[i, j] > -2]
                 if len(rows) > 4 * k * len(ids):
                     rows = _best(rows, k)
             columns = list(zip(*_best(rows, k))) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "other", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (same, same, pa.float64()))], names=["query_id", "other", "score"])
 
-        one = vectors.select(F.col(key).cast("long"), value).mapInArrow(run, "query_id long, other long, score double")
+        one = vectors.select(F.col(key).cast(kind), value).mapInArrow(run, f"query_id {kind}, other {kind}, score double")
         found = one if found is None else found.unionByName(one)
     return top(found, ["query_id"], F.col("score"), "other", k)
 
@@ -97,7 +103,7 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """
     spark = documents.sparkSession
     wanted = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", terms(F.col("text")).alias("t"))
+    docs = stored(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), terms(F.col("text")).alias("t")))  # words are made once
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -145,6 +151,35 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     return top(found, ["query_id"], F.col("score"), "doc_id", k)
 
 
+def bm25_from_index(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank) from a stored index: postings (term, doc_id, tf, dl) and stats (n, avgdl).
+
+    A join of the queries' terms with their postings, summed by query and document before the shuffle; the index is
+    sorted by term, so that only row groups that may hold these terms are read. Equal scores go by doc_id.
+    """
+    wanted = queries.where("query_id IS NOT NULL").select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    df = postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    each = wanted.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats.limit(1)))  # the statistics are one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = each.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return top(scored, ["query_id"], F.col("score"), "doc_id", k)
+
+
+def hashed_vectors(texts: DataFrame, postings: DataFrame, stats: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """(key, embedding): texts as dense vectors without a model: each term adds its count times its rarity in the index to
+    one of `size` places, with a sign, both by the term's hash. Texts without an indexed term give no row."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    counts = texts.select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    each = counts.join(df, "term").crossJoin(F.broadcast(stats.limit(1).select("n")))
+    digest = F.md5("term")
+    place = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % size
+    sign = F.when(F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    cells = each.groupBy(key, place.alias("place")).agg(F.sum(sign * F.col("tf") * F.log(1 + F.col("n") / F.col("df"))).alias("v"))
+    held = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))  # `size` entries at most
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
 def fuse(a: DataFrame, b: DataFrame, by: list[str], k: int, tie: str, c: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two rankings with the columns `by`, tie and rank."""
     keys = [*by, tie]

@@ -50,7 +50,7 @@ def clean_comments(code: str | None, dll: str | None) -> str | None:
     name = METHODS.get(dll.strip().lower()) if dll else None
     if tree is None or name is None:
         return None
-    node = next((n for n in statements(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == name), None)
+    node = next((n for n in statements(tree) if isinstance(n, ast.FunctionDef) and n.name == name), None)
     if node is None:
         return code
     lines = code.split("\n")
@@ -79,8 +79,21 @@ def clean_comments_column(code: Column, dll: Column) -> Column:
     return run(code, dll)
 
 
+#: Containers whose elements are told apart by their place.
+CONTAINERS = ("Sequential", "ModuleList", "LayerList")
+
+
+def _elements(call: ast.Call) -> list[ast.Call]:
+    """Constructors in a container, in order."""
+    parts = call.args[0].elts if len(call.args) == 1 and isinstance(call.args[0], (ast.List, ast.Tuple)) else call.args
+    return [p for p in parts if isinstance(p, ast.Call)]
+
+
 def definitions(df: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, attribute, constructor, line) of each self.<attribute> = <constructor>(...) of a program."""
+    """(key, attribute, constructor, line) of each self.<attribute> = <constructor>(...) of a program.
+
+    The elements of a container follow it as <attribute>.<place>. Programs that don't parse give none.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(frames):
@@ -92,12 +105,27 @@ def definitions(df: DataFrame, key: str, code: str) -> DataFrame:
                     if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call):
                         for t in n.targets:
                             if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
-                                out.append((k, t.attr, ast.unparse(n.value.func), n.lineno))
+                                name = ast.unparse(n.value.func)
+                                out.append((k, t.attr, name, n.lineno))
+                                if name.rpartition(".")[2] in CONTAINERS:
+                                    out += [(k, f"{t.attr}.{i}", ast.unparse(x.func), x.lineno) for i, x in enumerate(_elements(n.value))]
             yield pd.DataFrame(out, columns=[key, "attribute", "constructor", "line"])
 
     return df.select(key, code).mapInPandas(run, f"{key} {kind}, attribute string, constructor string, line int")
 
 
+def crash_definitions(programs: DataFrame, crashes: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, attribute, constructor, line, crash_line): what the module called at each crash is, from (key, crash_line, crash_code).
+
+    A crash at self.<attribute>(...) gives the attribute's definition in the same program and, of a container, its
+    elements; crashes elsewhere, and attributes that the program doesn't define, give none.
+    """
+    called = crashes.withColumn("called", F.regexp_extract("crash_code", r"\bself\.(\w+)\s*\(", 1)).where("called <> ''").select(key, "called", "crash_line").distinct()
+    wanted = programs.join(called.select(key).distinct(), key, "left_semi")
+    found = definitions(wanted, key, code).withColumn("called", F.substring_index("attribute", ".", 1)).distinct()
+    return found.join(called, [key, "called"]).drop("called")
+
+
 def mask_arguments(code: str | None, attribute: str, arguments: list[str]) -> str | None:
     """Code in which the named arguments of self.<attribute>'s constructor read 'mask'; unchanged where there are none."""
     tree = _tree(code)

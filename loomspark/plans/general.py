@@ -47,7 +47,7 @@ def general_asof_join(spark: SparkSession, folder: str) -> DataFrame:
     """Each purchase with its user's latest view before or at it."""
     e = table(spark, folder, "events")
     view = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view"))
-    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), view, ["user_id"], "ts", "view").select("event_id", F.col("asof_view").alias("view"))
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), view, ["user_id"], "ts", "view", F.date_trunc("day", "ts")).select("event_id", F.col("asof_view").alias("view"))
 
 
 def general_json_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def general_stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     stream = event_stream(spark, f"{folder}/events.parquet", schema)
     run_to_end(all_windowed_counts(stream), f"{base}/out", f"{base}/state")
-    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{base}/out")
+    return spark.read.schema("start timestamp_ntz, event_type string, n long, total double").parquet(f"{base}/out")
 
 
 SQL = {
@@ -94,6 +94,7 @@ SQL = {
     "general_range_join": "SELECT low, count(*) AS parts FROM part JOIN (SELECT (i * 150 + 850)::DOUBLE AS low, (i * 150 + 1050)::DOUBLE AS high FROM range(12) t(i)) ON p_retailprice >= low AND p_retailprice < high GROUP BY low",
     "general_asof_join": "SELECT p.event_id, v.view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS view FROM events WHERE event_type = 'view' GROUP BY ALL) v ON p.user_id = v.user_id AND p.ts >= v.ts",
     "general_json_map": "WITH e AS (SELECT try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events) SELECT (k // 10)::INT AS decade, count(*) AS n, max(k) AS most FROM e GROUP BY 1",
+    "general_stream_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "general_tumbling": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "general_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY])::TIMESTAMP AS start FROM events) GROUP BY start",
     "general_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS f FROM events),

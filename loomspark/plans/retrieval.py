@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import api_base, slug
+from loomspark.functions.text import api_base
 from loomspark.operators import retrieval as R
+from loomspark.session import checkpoint_dir, stored
 from loomspark.sources.tables import table
 
 
@@ -45,34 +48,70 @@ def retrieval_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return R.bm25_top(tasks, table(spark, folder, "documents"), 10).select(F.col("query_id").alias("task_id"), "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
-def retrieval_hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    """Reciprocal rank fusion of two rankings of each brand's parts: by price and by size."""
-    part = table(spark, folder, "part")
-    a = R.top(part, ["p_brand"], F.col("p_retailprice"), "p_partkey", 50)
-    b = R.top(part, ["p_brand"], F.col("p_size"), "p_partkey", 50)
-    return R.fuse(a, b, ["p_brand"], 10, "p_partkey").select("p_brand", "p_partkey", "score", F.col("rank").cast("int").alias("rank"))
+def api_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, dll, api_name, text): API documents as one text each: name, signature, usage, parameters and shape formulas, empty parts kept."""
+    parameters = F.array_join(F.transform("api_parameters", lambda p: F.concat(F.coalesce(p["name"], F.lit("")), F.lit(": "), F.coalesce(p["desc"], F.lit("")))), "; ")
+    formulas = F.array_join(F.transform(F.array_sort(F.map_entries("api_shape.formulas")), lambda e: F.concat(e["key"], F.lit(" = "), F.coalesce(e["value"], F.lit("")))), "; ")
+    docs = table(spark, folder, "api_doc").withColumn("parameters", parameters).withColumn("formulas", formulas)
+    parts = [F.coalesce(c, F.lit("")) for c in ("api_name", "api_signature", "api_details", "parameters", "formulas")]
+    return docs.select(F.concat_ws("/", "dll", "file_name").alias("doc_id"), "dll", "file_name", "api_name", F.concat_ws("\n", *parts).alias("text"))
+
 
+def retrieved_apis(spark: SparkSession, folder: str, k: int = 10, deep: int = 50) -> DataFrame:
+    """(task_id, rank, score, doc_id, dll, api_name, text): the API documents of each task, by fusion of sparse and dense rankings.
 
-def _api_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    tasks = table(spark, folder, "task").select("task_id", F.lower(F.regexp_extract("requirement", "(PyTorch|TensorFlow|PaddlePaddle)", 1)).alias("dll"))
-    docs = table(spark, folder, "api_doc").where("api_name IS NOT NULL").select("dll", "api_name").distinct()
-    return R.top(tasks.join(docs, "dll").withColumn("h", F.md5(F.concat_ws("/", "task_id", "api_name"))), ["task_id"], F.col("h"), "api_name", 200)
+    The index of the documents is built in the shared folder and read back; both rankings are made from it.
+    """
+    from loomspark.sources.files import build_index, open_index
+
+    docs = api_documents(spark, folder)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/api-index-{uuid.uuid4().hex}"
+    build_index(docs, path)
+    postings, stats = open_index(spark, path)
+    queries = table(spark, folder, "task").groupBy(F.col("task_id").alias("query_id")).agg(F.max("requirement").alias("text"))
+    sparse = R.bm25_from_index(queries, postings, stats, deep)
+    vectors = stored(R.hashed_vectors(docs, postings, stats, "doc_id"))
+    asked = stored(R.hashed_vectors(queries, postings, stats, "query_id").withColumnRenamed("query_id", "doc_id"))
+    dense = R.dense_top(asked, vectors, deep, key="doc_id").withColumnRenamed("other", "doc_id")
+    fused = R.fuse(sparse, dense, ["query_id"], k, "doc_id")
+    return fused.join(docs, "doc_id").select(F.col("query_id").alias("task_id"), F.col("rank").cast("int").alias("rank"), "score", "doc_id", "dll", "api_name", "text")
+
+
+def retrieval_hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten API documents of each task by reciprocal rank fusion of BM25 and dense neighbours."""
+    return retrieved_apis(spark, folder).select("task_id", "rank", "score", "doc_id", "api_name")
 
 
 def gold_array_intersect(spark: SparkSession, folder: str) -> DataFrame:
-    """Gold APIs of a task among its retrieved ones; a task without any retrieved counts with 0."""
-    got = _api_ranks(spark, folder).groupBy("task_id").agg(F.collect_set("api_name").alias("top"))  # 200 at most
-    gold = table(spark, folder, "gold_api").groupBy("task_id").agg(F.first("gold_apis", ignorenulls=True).alias("gold"))
+    """Gold APIs of a task among its ten retrieved ones; a task without any retrieved counts with 0."""
+    got = retrieved_apis(spark, folder).groupBy("task_id").agg(F.collect_set("api_name").alias("top"))  # 10 at most
+    gold = table(spark, folder, "gold_api").groupBy("task_id").agg(F.max("gold_apis").alias("gold"))
     both = gold.join(got, "task_id", "left").withColumn("gold", F.array_distinct(F.coalesce("gold", F.array().cast("array<string>"))))
     hits = F.size(F.array_intersect("gold", F.coalesce("top", F.array().cast("array<string>"))))
-    return both.select("task_id", F.size("gold").alias("gold"), hits.alias("hits"), F.round(F.coalesce(F.try_divide(hits, F.size("gold")), F.lit(0.0)), 6).alias("recall"))
+    return both.select("task_id", F.size("gold").alias("gold"), hits.alias("hits"), F.round(hits / 10, 6).alias("precision"), F.round(F.coalesce(F.try_divide(hits, F.size("gold")), F.lit(0.0)), 6).alias("recall"), (hits > 0).cast("int").alias("hit"))
+
+
+def alias_table(documents: DataFrame) -> DataFrame:
+    """(alias, canonical): other spellings of API names: lower case, and the last part alone where only one API has it."""
+    names = documents.where("api_name IS NOT NULL").select(api_base(F.col("api_name")).alias("canonical")).where("canonical IS NOT NULL").distinct()
+    each = names.select(F.explode(F.array(F.lower("canonical"), F.lower(F.element_at(F.split("canonical", r"\."), -1)))).alias("alias"), "canonical")
+    return each.groupBy("alias").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).where("n = 1").drop("n")
 
 
 def alias_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """Records by canonical model; spellings outside of the alias table keep their name."""
-    records = table(spark, folder, "repair_result").select(F.trim(F.col("model")).alias("model"))
-    aliases = records.distinct().select("model", slug(F.col("model")).alias("canonical")).where("canonical LIKE 'lumen%'")
-    return records.join(aliases, "model", "left").groupBy(F.coalesce("canonical", "model").alias("name")).agg(F.count("*").alias("records"))
+    """APIs named in signatures and gold sets by their canonical name; names outside of the alias table keep theirs."""
+    docs = table(spark, folder, "api_doc")
+    named = docs.select(F.trim(F.substring_index("api_signature", "(", 1)).alias("written")).unionByName(docs.select(F.element_at(F.split(F.trim(F.substring_index("api_signature", "(", 1)), r"\."), -1).alias("written")))
+    named = named.unionByName(table(spark, folder, "gold_api").select(F.explode("gold_apis").alias("written"))).where("written <> ''")
+    both = named.join(alias_table(docs), F.lower(F.trim("written")) == F.col("alias"), "left")
+    return both.groupBy("written", F.coalesce("canonical", "written").alias("name")).agg(F.count("*").alias("n"))
+
+
+def candidate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold API names of each task beside their documents; a name that no document has comes with NULL."""
+    names = table(spark, folder, "gold_api").select("task_id", F.explode("gold_apis").alias("api_name")).distinct()
+    docs = api_documents(spark, folder).where("api_name IS NOT NULL").groupBy("api_name").agg(F.count("*").alias("documents"), F.min("text").alias("api_doc"))
+    return names.join(docs, "api_name", "left").select("task_id", "api_name", F.coalesce("documents", F.lit(0)).alias("documents"), "api_doc")
 
 
 def api_catalog_semi(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,6 +138,25 @@ _DENSE = """
  p AS (SELECT query_id, k::INT AS k, hits::BIGINT AS hits, round(hits / k, 6) AS precision, round(CASE WHEN gold = 0 THEN 0 ELSE hits / gold END, 6) AS recall, (hits > 0)::INT AS hit FROM m)
 """
 _TERMS = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+API_DOCS = """docs AS (SELECT dll || '/' || file_name AS doc_id, dll, file_name, api_name, concat_ws(chr(10), coalesce(api_name, ''), coalesce(api_signature, ''), coalesce(api_details, ''),
+ coalesce(array_to_string(list_transform(api_parameters, lambda p: coalesce(p.name, '') || ': ' || coalesce(p."desc", '')), '; '), ''),
+ coalesce(array_to_string(list_transform(list_sort(map_entries(api_shape.formulas)), lambda e: e.key || ' = ' || coalesce(e.value, '')), '; '), '')) AS text FROM api_doc)"""
+_PLACE = "('0x' || substr(md5(term), 1, 4))::INT % 64"
+_SIGN = "CASE WHEN ('0x' || substr(md5(term), 5, 1))::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+HYBRID = f"""{API_DOCS},
+ qs AS (SELECT task_id, max(requirement) AS text FROM task GROUP BY task_id),
+ dw AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM docs), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dw),
+ dt AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dw) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+ qt AS (SELECT task_id, term, count(*) AS tf FROM (SELECT task_id, unnest({_TERMS.format('text')}) AS term FROM qs) GROUP BY ALL),
+ sparse AS (SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY round(s, 6) DESC, doc_id) AS r FROM (
+   SELECT task_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * dt.tf * 2.2 / (dt.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM qt JOIN dt USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL) QUALIFY r <= 50),
+ dv AS (SELECT doc_id, {_PLACE} AS k, sum({_SIGN} * tf * ln(1 + n / df)) AS v FROM dt JOIN df USING (term) CROSS JOIN st GROUP BY ALL), qv AS (SELECT task_id, {_PLACE} AS k, sum({_SIGN} * tf * ln(1 + n / df)) AS v FROM qt JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+ dn AS (SELECT doc_id, sqrt(sum(v * v)) AS m FROM dv GROUP BY doc_id), qn AS (SELECT task_id, sqrt(sum(v * v)) AS m FROM qv GROUP BY task_id),
+ dots AS (SELECT task_id, doc_id, sum(qv.v * dv.v) AS s FROM qv JOIN dv USING (k) GROUP BY ALL),
+ dense AS (SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY round(coalesce(s, 0) / (qn.m * dn.m), 6) DESC, doc_id) AS r FROM qn CROSS JOIN dn LEFT JOIN dots USING (task_id, doc_id) QUALIFY r <= 50),
+ fused AS (SELECT task_id, doc_id, round(coalesce(1.0::DOUBLE / (60 + sparse.r), 0) + coalesce(1.0::DOUBLE / (60 + dense.r), 0), 8) AS score FROM sparse FULL JOIN dense USING (task_id, doc_id)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, doc_id)::INT AS rank FROM fused QUALIFY rank <= 10),
+ hybrid AS (SELECT task_id, rank, score, doc_id, dll, api_name, text FROM ranked JOIN docs USING (doc_id))"""
 
 SQL = {
     "retrieval_dense_prk": f"WITH {_DENSE} SELECT * FROM p WHERE k = 10",
@@ -111,27 +169,24 @@ WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents), st AS (S
  s AS (SELECT q.task_id, c.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN c USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
  r AS (SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM s)
 SELECT * FROM r WHERE rank <= 10""",
-    "retrieval_hybrid_rrf": """
-WITH a AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part QUALIFY r <= 50),
- b AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part QUALIFY r <= 50),
- f AS (SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, coalesce(a.p_partkey, b.p_partkey) AS p_partkey, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 8) AS score
-   FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_partkey = b.p_partkey)
-SELECT p_brand, p_partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey)::INT AS rank FROM f QUALIFY rank <= 10""",
-    "gold_array_intersect": """
-WITH t AS (SELECT task_id, lower(regexp_extract(requirement, '(PyTorch|TensorFlow|PaddlePaddle)', 1)) AS dll FROM task),
- x AS (SELECT DISTINCT dll, api_name FROM api_doc WHERE api_name IS NOT NULL),
- r AS (SELECT task_id, api_name FROM t JOIN x USING (dll) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY md5(task_id || '/' || api_name) DESC, api_name) <= 200),
- g AS (SELECT task_id, list_distinct(coalesce(any_value(gold_apis), []::VARCHAR[])) AS gold FROM gold_api GROUP BY task_id),
- h AS (SELECT g.task_id, len(any_value(gold))::INT AS gold, len(list_intersect(any_value(gold), coalesce(list(r.api_name) FILTER (WHERE r.api_name IS NOT NULL), []::VARCHAR[])))::INT AS hits FROM g LEFT JOIN r USING (task_id) GROUP BY g.task_id)
-SELECT task_id, gold, hits, round(CASE WHEN gold = 0 THEN 0 ELSE hits / gold END, 6) AS recall FROM h""",
+    "retrieval_hybrid_rrf": f"WITH {HYBRID} SELECT task_id, rank, score, doc_id, api_name FROM hybrid",
+    "gold_array_intersect": f"""WITH {HYBRID},
+ g AS (SELECT task_id, list_distinct(coalesce(max(gold_apis), []::VARCHAR[])) AS gold FROM gold_api GROUP BY task_id),
+ h AS (SELECT g.task_id, len(any_value(gold))::INT AS gold, len(list_intersect(any_value(gold), coalesce(list(hybrid.api_name) FILTER (WHERE hybrid.api_name IS NOT NULL), []::VARCHAR[])))::INT AS hits FROM g LEFT JOIN hybrid USING (task_id) GROUP BY g.task_id)
+SELECT task_id, gold, hits, round(hits / 10, 6) AS precision, round(CASE WHEN gold = 0 THEN 0 ELSE hits / gold END, 6) AS recall, (hits > 0)::INT AS hit FROM h""",
     "alias_resolution": """
-WITH r AS (SELECT trim(model, ' ') AS model FROM repair_result),
- s AS (SELECT model, trim(regexp_replace(lower(string_split(model, '/')[-1]), '[^a-z0-9]+', '_', 'g'), '_') AS canonical FROM (SELECT DISTINCT model FROM r))
-SELECT coalesce(canonical, r.model) AS name, count(*) AS records FROM r LEFT JOIN (SELECT * FROM s WHERE canonical LIKE 'lumen%') a ON r.model = a.model GROUP BY 1""",
+WITH n AS (SELECT DISTINCT trim(split_part(trim(api_name), '(', 1)) AS canonical FROM api_doc WHERE api_name IS NOT NULL),
+ c AS (SELECT canonical FROM n WHERE contains(canonical, '.')),
+ a AS (SELECT alias, min(canonical) AS canonical FROM (SELECT lower(canonical) AS alias, canonical FROM c UNION ALL SELECT lower(string_split(canonical, '.')[-1]), canonical FROM c) GROUP BY alias HAVING count(*) = 1),
+ w AS (SELECT trim(split_part(api_signature, '(', 1)) AS written FROM api_doc UNION ALL SELECT string_split(trim(split_part(api_signature, '(', 1)), '.')[-1] FROM api_doc UNION ALL SELECT unnest(gold_apis) FROM gold_api)
+SELECT written, coalesce(canonical, written) AS name, count(*) AS n FROM w LEFT JOIN a ON lower(trim(written)) = alias WHERE written <> '' GROUP BY ALL""",
+    "candidate_documents": f"""WITH {API_DOCS},
+ n AS (SELECT DISTINCT task_id, unnest(gold_apis) AS api_name FROM gold_api), m AS (SELECT api_name, count(*) AS documents, min(text) AS api_doc FROM docs WHERE api_name IS NOT NULL GROUP BY api_name)
+SELECT task_id, api_name, coalesce(documents, 0) AS documents, api_doc FROM n LEFT JOIN m USING (api_name)""",
     "api_catalog_semi": """
 WITH n AS (SELECT DISTINCT task_id, trim(split_part(trim(api), '(', 1)) AS api FROM (SELECT task_id, unnest(gold_apis) AS api FROM gold_api)),
  c AS (SELECT DISTINCT trim(split_part(trim(api_name), '(', 1)) AS api FROM api_doc)
 SELECT task_id, api FROM n WHERE contains(api, '.') AND api IN (SELECT api FROM c WHERE api IS NOT NULL)""",
     "api_missing_anti": "SELECT api, count(DISTINCT task_id) AS tasks FROM (SELECT task_id, unnest(gold_apis) AS api FROM gold_api) WHERE api NOT IN (SELECT api_name FROM api_doc WHERE api_name IS NOT NULL) GROUP BY api",
 }
-QUERIES = {f.__name__: f for f in (retrieval_dense_prk, metrics_macro_at_k, retrieval_bm25_topk, retrieval_hybrid_rrf, gold_array_intersect, alias_resolution, api_catalog_semi, api_missing_anti)}
+QUERIES = {f.__name__: f for f in (retrieval_dense_prk, metrics_macro_at_k, retrieval_bm25_topk, retrieval_hybrid_rrf, gold_array_intersect, alias_resolution, candidate_documents, api_catalog_semi, api_missing_anti)}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import lines_of, natural_key
+
 TASK_PATH = r"/([^/]+)/([^/]+)/([^/]+)/([^/]+)/([^/]+)$"
 SIDECAR = (
     "final_code string, runtime_error_info struct<traceback: string>, root_cause struct<root_cause_type: string, "
@@ -27,6 +29,24 @@ def programs(spark: SparkSession, folder: str, suffix: str = ".py") -> DataFrame
     return df.select(*[F.regexp_extract("path", TASK_PATH, i + 1).alias(n) for i, n in enumerate(names)], F.when(F.col("text") != "", F.col("text")).alias("code"))
 
 
+def in_order(df: DataFrame, path: str = "path") -> DataFrame:
+    """Rows in the natural order of their paths, letter case regarded; a sort over all partitions."""
+    return df.orderBy(natural_key(F.col(path), lower=False), path)
+
+
+def write_programs(df: DataFrame, folder: str) -> None:
+    """Programs (model, step, dll, task_id, filename, code) as text below their keys; missing code gives an empty file."""
+    keys = ("model", "step", "dll", "task_id", "filename")
+    df.select(*keys, F.coalesce("code", F.lit("")).alias("value")).write.mode("overwrite").partitionBy(*keys).text(folder)
+
+
+def written_programs(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_programs wrote, each file's last line end aside; an empty file is missing code again."""
+    df = spark.read.schema("value string, model string, step string, dll string, task_id string, filename string").text(folder, wholetext=True)
+    code = F.regexp_replace("value", r"\n\z", "")
+    return df.select("model", "step", "dll", "task_id", "filename", F.when(code != "", code).alias("code"))
+
+
 def task_names(df: DataFrame, path: str = "path") -> DataFrame:
     """Distinct names of the folders that hold the files; empty folders aren't seen by a file scan."""
     return df.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("task_id")).distinct()
@@ -64,9 +84,9 @@ def yaml_rows(df: DataFrame, schema: str, text: str = "text", keys: dict[str, st
     return df.select("path", text).mapInPandas(run, f"path string, {schema}, error string")
 
 
-def sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """Diagnosis sidecars; what doesn't parse is kept in _corrupt_record."""
-    return spark.read.schema(SIDECAR).json(folder, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+def sidecars(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Diagnosis sidecars, one a file or, with lines, one a line; what doesn't parse is kept in _corrupt_record."""
+    return spark.read.schema(SIDECAR).json(folder, multiLine=not lines, recursiveFileLookup=True, pathGlobFilter="*.json")
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -74,17 +94,51 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="sample_id string, location string, root_cause_type string")
 
 
+def formula_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of shape formulas by family of APIs and axis, from CSV with a header."""
+    return spark.read.csv(path, header=True, schema="family string, axis string, formula string")
+
+
+#: Fixed pattern of the counter lines in logs: what was counted and the number.
+COUNTER = r"(Input Prompt|LLM generated response) tokens\s*:\s*(\d+)"
+
+
+def counters(df: DataFrame, line: str, *keep: str) -> DataFrame:
+    """(keep, event, tokens) of the counter lines; other lines give none."""
+    return df.where(F.rlike(line, F.lit(COUNTER))).select(*keep, F.regexp_extract(line, COUNTER, 1).alias("event"), F.expr(f"try_cast(regexp_extract({line}, r'{COUNTER}', 2) AS int)").alias("tokens"))
+
+
 def token_logs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, event, tokens) of the counter lines of log files."""
-    pattern = r"(Input Prompt|LLM generated response) tokens\s*:\s*(\d+)"
-    df = spark.read.text(folder, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return df.where(F.rlike("value", F.lit(pattern))).select("path", F.regexp_extract("value", pattern, 1).alias("event"), F.regexp_extract("value", pattern, 2).cast("int").alias("tokens"))
+    return counters(spark.read.text(folder, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value"), "value", "path")
+
+
+def write_yaml(df: DataFrame, folder: str, *by: str) -> None:
+    """A YAML document a line, in the flow style that JSON is too, below folders of the given columns."""
+    rest = [c for c in df.columns if c not in by]
+    df.select(*by, F.concat(F.lit("--- "), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("value")).write.mode("overwrite").partitionBy(*by).text(folder)
+
+
+def read_yaml(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What write_yaml wrote, by an explicit schema; the columns of its folders are strings."""
+    df = spark.read.text(folder)
+    return df.select(*[c for c in df.columns if c != "value"], F.from_json(F.regexp_replace("value", "^--- ", ""), schema).alias("x")).select("*", "x.*").drop("value", "x")
+
+
+def chat_logs(df: DataFrame) -> DataFrame:
+    """(step, model, file, number, prompt, response): prompts and responses as lists of lines under the name of their log."""
+    name = F.concat(F.lit("log_"), F.date_format("created_at", "yyyy_MM_dd_HH_mm"), F.lit("_"), F.col("repair_id").cast("string"), F.lit(".yaml"))
+    return df.select("step", "model", name.alias("file"), F.col("repair_id").alias("number"), lines_of(F.col("prompt")).alias("prompt"), lines_of(F.col("llm_response")).alias("response"))
 
 
 def write_logs(df: DataFrame, folder: str) -> None:
-    """Prompts and responses as line lists; partitions keep runs apart, so that names can't collide."""
-    lines: Column = F.split("prompt", "\r?\n")
-    df.select("model", "step", lines.alias("prompt"), F.split("llm_response", "\r?\n").alias("response"), "created_at").write.mode("append").partitionBy("step", "model").json(folder)
+    """Chat logs as YAML; partitions keep runs apart, so that names can't collide."""
+    write_yaml(chat_logs(df), folder, "step", "model")
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """Rows as JSON documents, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
 def write_report(df: DataFrame, folder: str, sheet: str) -> None:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     """A stream over a folder of Parquet files, or over one file; ts becomes a timestamp, as watermarks need one."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
-        folder, _, name = folder.rpartition("/")
+    if spark.read.format("binaryFile").load(folder).select("path").where(F.col("path").endswith("/" + folder.rstrip("/").rpartition("/")[2])).limit(1).count():
+        folder, _, name = folder.rstrip("/").rpartition("/")  # one file: its folder is watched for its name
         reader = reader.option("pathGlobFilter", name)
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -26,7 +25,7 @@ def all_windowed_counts(events: DataFrame, length: str = "1 day") -> DataFrame:
 
     For complete mode: every run over a batch gives all windows up to then. The state has a row for each window and type.
     """
-    return events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import retrieval as R
@@ -68,6 +69,11 @@ def test_asof_and_range(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 2, 10), ("a", 5, 20), ("c", 1, 30)], "k string, t int, v int")
     assert {r.id: r.asof_v for r in asof_join(left, right, ["k"], "t", "v").collect()} == {1: 20, 2: None, 3: None}
+    events = [(i, "hot" if i % 3 else "b", random.randrange(40), i % 2) for i in range(300)]
+    l2 = spark.createDataFrame([e[:3] for e in events if e[3]], "id int, k string, t int").union(spark.createDataFrame([(900, None, 30)], "id int, k string, t int"))
+    r2 = spark.createDataFrame(list({(e[1], e[2]): (e[1], e[2], e[0]) for e in events if not e[3]}.values()) + [(None, 3, 5)], "k string, t int, v int")
+    one, many = ({r.id: r.asof_v for r in asof_join(l2, r2, ["k"], "t", "v", b).collect()} for b in (None, F.floor(F.col("t") / 5)))
+    assert one == many and len(one) == 151 and one[900] == 5
     random.seed(2)
     pts = [(i, random.uniform(0, 50)) for i in range(80)]
     rng = [(i, lo, lo + random.uniform(0, 9)) for i, lo in enumerate(random.uniform(0, 50) for _ in range(25))]
@@ -82,6 +88,8 @@ def test_clean_comments():
     deep = 'class N:\n    def call(self, x):\n        """Doc\n  # kept\n"""\n        y = (1,  # gone\n             2)\n        return y\n'
     assert trees.clean_comments(deep, "tensorflow") == deep.replace("  # gone", "")
     assert trees.clean_comments("def call(x):\n    return x  # c", "pytorch") == "def call(x):\n    return x  # c"
+    asynchronous = "async def forward(x):\n    return x  # kept"
+    assert trees.clean_comments(asynchronous, "pytorch") == asynchronous
     assert trees.clean_comments("def forward(:", "pytorch") is None and trees.clean_comments(None, "pytorch") is None and trees.clean_comments("x", "jax") is None
 
 
@@ -93,6 +101,70 @@ def test_definitions_and_masks(spark):
     assert "in_features='mask', out_features=4" in got[1] and got[2] is None and got[3] is None
 
 
+def test_crash_definitions(spark):
+    code = "class N:\n    def __init__(self):\n        self.fc = nn.Linear(3, 4)\n        self.b = nn.Sequential(nn.Conv2d(1, 2), nn.ReLU())\n        self.l = nn.ModuleList([nn.Linear(1, 1)])\n"
+    programs = spark.createDataFrame([(1, code), (2, code), (3, "def ("), (4, None)], "id int, code string")
+    crashes = spark.createDataFrame([(1, 9, "x = self.fc(x)"), (2, 9, "x = self.b(x)"), (2, 9, "x = self.b(x)"), (2, 8, "y = f(x)"), (3, 1, "self.fc(x)"), (9, 1, "self.fc(x)")], "id int, crash_line int, crash_code string")
+    got = {(r.id, r.attribute, r.constructor, r.line, r.crash_line) for r in trees.crash_definitions(programs, crashes, "id", "code").collect()}
+    assert got == {(1, "fc", "nn.Linear", 3, 9), (2, "b", "nn.Sequential", 4, 9), (2, "b.0", "nn.Conv2d", 4, 9), (2, "b.1", "nn.ReLU", 4, 9)}
+
+
+def test_index_search_equals_scan(spark, tmp_path):
+    from loomspark.sources.files import build_index, open_index
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(0, 12)))) for i in range(80)] + [(99, None)], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([("x", "a c e"), ("y", "h h b"), ("z", "nothing"), ("n", None)], "query_id string, text string")
+    build_index(docs, str(tmp_path / "i"))
+    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").select("query_id", "doc_id", "rank").collect()]
+    assert rows(R.bm25_from_index(q, *open_index(spark, str(tmp_path / "i")), 7)) == rows(R.bm25_top(q, docs, 7))
+
+
+def test_hashed_vectors(spark, tmp_path):
+    from loomspark.sources.files import build_index, open_index
+
+    docs = spark.createDataFrame([("p", "red fox runs"), ("q", "red fox runs fast"), ("r", "blue whale"), ("s", None)], "doc_id string, text string")
+    build_index(docs, str(tmp_path / "i"))
+    v = R.hashed_vectors(docs, *open_index(spark, str(tmp_path / "i")), "doc_id")
+    assert {r.doc_id: len(r.embedding) for r in v.collect()} == {"p": 64, "q": 64, "r": 64}
+    assert [r.other for r in R.dense_top(v.where("doc_id = 'p'"), v, 2, key="doc_id").orderBy("rank").collect()] == ["q", "r"]
+
+
+def test_replay(spark):
+    from loomspark.plans.evaluation import replay
+
+    log = spark.createDataFrame([("p", "old", 1), ("p", "new", 2), ("q", None, 3), (None, "x", 4)], "prompt string, answer string, at int")
+    asked = spark.createDataFrame([(1, "p"), (2, "q"), (3, None), (4, "unknown"), (5, "p")], "id int, prompt string")
+    assert {r.id: r.answer for r in replay(asked, log).collect()} == {1: "new", 2: None, 3: None, 4: None, 5: "new"}
+
+
+def test_aliases(spark):
+    from loomspark.plans.retrieval import alias_table
+
+    got = {r.alias: r.canonical for r in alias_table(spark.createDataFrame([("torch.nn.Linear",), ("tf.Conv",), ("paddle.Conv",), ("one",), (None,)], "api_name string")).collect()}
+    assert got == {"torch.nn.linear": "torch.nn.Linear", "linear": "torch.nn.Linear", "tf.conv": "tf.Conv", "paddle.conv": "paddle.Conv"}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from loomspark.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+
+
 def test_statements_table_function(spark):
     spark.udtf.register("statements_in_test", trees.Statements)
     df = spark.createDataFrame([(1, "import x\nif x:\n    y = 1\nelse:\n    pass\n"), (2, "def ("), (3, None)], "id int, code string")

@@ -22,6 +22,23 @@ def test_programs_and_names(spark, tmp_path):
     assert [r.task_id for r in files.task_names(files.whole_texts(spark, str(tmp_path))).collect()] == ["task_2"]
 
 
+def test_written_programs_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([("m", "s", "d", f"t{k}", "a.py", c) for k, c in ((10, "x = 1\ny = 2\n"), (2, None), (1, "z"))], "model string, step string, dll string, task_id string, filename string, code string")
+    files.write_programs(df, str(tmp_path / "p"))
+    back = files.written_programs(spark, str(tmp_path / "p"))
+    assert {r.task_id: r.code for r in back.collect()} == {"t10": "x = 1\ny = 2\n", "t2": None, "t1": "z"}
+    assert [r.task_id for r in files.in_order(back, "task_id").collect()] == ["t1", "t2", "t10"]
+    logs = spark.createDataFrame([(7, "s", "m", "a\r\nb\n", None, "2025-01-02 03:04:05")], "repair_id long, step string, model string, prompt string, llm_response string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    files.write_logs(logs, str(tmp_path / "l"))
+    got = files.read_yaml(spark, str(tmp_path / "l"), "file string, number bigint, prompt array<string>, response array<string>").first()
+    assert (got.file, got.number, got.prompt, got.response, got.step) == ("log_2025_01_02_03_04_7.yaml", 7, ["a", "b"], None, "s")
+    yaml = pytest.importorskip("yaml")
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "l")).collect())
+    assert list(yaml.safe_load_all(text))[0]["prompt"] == ["a", "b"]
+    (tmp_path / "f.csv").write_text("family,axis,formula\nconv,Ho,floor(x)\n")
+    assert files.formula_table(spark, str(tmp_path / "f.csv")).first().formula == "floor(x)"
+
+
 def test_yaml_three_kinds_of_missing(spark, tmp_path):
     docs = {"a": "name: x\nshape: ''\nlist: [1]\n", "b": "name: y\nshape: {}\n", "c": "name: z\nshape: null\n", "d": "name: [\n"}
     for k, t in docs.items():

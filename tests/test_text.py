@@ -19,11 +19,43 @@ def test_fence_match(spark):
     assert got == [None, "x = 1", None, None, "q", "a", None, None]
 
 
-def test_fence_regex_differs_from_match(spark):
+def test_fence_regex(spark):
     text = f"{FENCE}python{FENCE}python\nq\n{FENCE}"
     assert values(spark, T.fence_match, text) == ["q"]
     assert values(spark, T.fence_regex, text, None, "x", f"{FENCE}json\n1\n{FENCE}") == ["", None, None, None]
-    assert values(spark, lambda c: T.fence_regex(c, ""), f"{FENCE}json\n1\n{FENCE}") == ["1\n"]
+    bare = f"{FENCE}\n\n x = 1 \n{FENCE}"
+    assert values(spark, lambda c: T.fence_regex(c, ""), f"{FENCE}json\n1\n{FENCE}", bare, f"{FENCE}python x{FENCE}") == ["1", "x = 1", "x"]
+    assert values(spark, lambda c: T.fence_regex(c, "c++"), f"{FENCE}c++\nint x;\n{FENCE}", f"{FENCE}c\nint x;\n{FENCE}") == ["int x;", None]
+
+
+def test_lines_of(spark):
+    texts = ["", "a", "a\n", "a\r\nb\rc\n\n", "\n", "a\u2028b\x0cc", None]
+    assert values(spark, T.lines_of, *texts) == [None if t is None else t.splitlines() for t in texts]
+
+
+def test_crash_and_forward_local(spark):
+    head = "Traceback (most recent call last):\n"
+    frame = lambda f, n, where, code: f'  File "{f}", line {n}, in {where}\n    {code}\n'
+    lib = frame("/usr/lib/python3.13/site-packages/torch/nn.py", 9, "forward", "return F.x(y)")
+    texts = [head + frame("a.py", 3, "<module>", "y = m(x)") + frame("a.py", 7, "forward", c) + lib + "RuntimeError: no" for c in ("x = torch.cat([x, y], 1)", "x = self.fc(x)", "x = self.blocks[0](x)", "x + 1")]
+    texts += [head + frame("a.py", 5, "__init__", "self.a = B(1)"), "no traceback", None]
+    got = values(spark, T.crash, *texts)
+    assert [None if g is None else (g.crash_stage, g.line_no) for g in got] == [("forward", 7)] * 4 + [("init", 5), None, None]
+    found = values(spark, T.forward_local, *texts)
+    assert found[0].root_cause_type == "Forward_Local_Crash" and found[0].forward_definition.original_call == "x = torch.cat([x, y], 1)" and found[0].init_definition == {} and found[1:] == [None] * 6
+    assert [len(f) if f is not None else None for f in values(spark, T.user_frames, *texts)] == [2, 2, 2, 2, 1, 0, None]
+
+
+def test_slug_by_sign(spark):
+    assert values(spark, T.slug_by_sign, "org/Gem-3.4b--it", "_x_", None) == ["gem_3_4b__it", "x", None]
+
+
+def test_prompts(spark):
+    from loomspark.functions import prompts as P
+
+    q, docs = F.lit("Do it"), F.array(F.lit("d1"), F.lit(None).cast("string"))
+    row = spark.range(1).select(P.zero_shot(F.lit(None).cast("string"), F.lit("pytorch")), P.candidates(q, F.lit("x")), P.with_documents(q, F.lit("x"), docs), P.retrieval(q, F.lit("x"), docs), P.numbered(F.array().cast("array<string>")), P.unresolved(F.lit("x = 1"), F.lit("Error: y"))).first()
+    assert "pytorch" in row[0] and "api_name" in row[1] and "Documents:\nd1" in row[2] and "[Retrieved API 1]\nd1\n\n[Retrieved API 2]\n" in row[3] and row[4] == "(no API retrieved)" and "x = 1" in row[5] and row[5].index("Error: y") > row[5].index("x = 1")
 
 
 @pytest.mark.parametrize(
