@@ -36,11 +36,11 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
     same = pa.string() if kind == "string" else pa.int64()
     kind = kind if kind == "string" else "bigint"
     found = None
-    total = queries.where(F.col(value).isNotNull()).count()
-    blocks = max(1, math.ceil(total / block))
+    asked = stored(queries.where(F.col(value).isNotNull()).select(F.col(key).cast(kind).alias(key), value))
+    blocks = max(1, math.ceil(asked.count() / block))
     for no in range(blocks):
-        part = queries.where(F.col(value).isNotNull()).where(F.expr(f"pmod(xxhash64({key}), {blocks}) = {no}"))
-        rows_ = [(r[0], list(r[1])) for r in part.select(F.col(key).cast(kind), value).take(2 * block + 1)]
+        part = asked if blocks == 1 else asked.where(F.expr(f"pmod(xxhash64({key}), {blocks}) = {no}"))
+        rows_ = [(r[0], list(r[1])) for r in part.select(key, value).limit(2 * block + 1).collect()]
         if len(rows_) > 2 * block:
             raise ValueError("ids of the queries aren't distinct: a block has more than twice its size")
         held = spark.sparkContext.broadcast(rows_)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import api_base
 from loomspark.operators import retrieval as R
-from loomspark.session import checkpoint_dir, stored
+from loomspark.session import checkpoint_dir
 from loomspark.sources.tables import table
 
 
@@ -57,22 +57,35 @@ def api_documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.concat_ws("/", "dll", "file_name").alias("doc_id"), "dll", "file_name", "api_name", F.concat_ws("\n", *parts).alias("text"))
 
 
-def retrieved_apis(spark: SparkSession, folder: str, k: int = 10, deep: int = 50) -> DataFrame:
-    """(task_id, rank, score, doc_id, dll, api_name, text): the API documents of each task, by fusion of sparse and dense rankings.
+#: Where the indexes of this session's folders lie: they are built once and read by every query.
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
-    The index of the documents is built in the shared folder and read back; both rankings are made from it.
-    """
+def api_index(spark: SparkSession, folder: str) -> str:
+    """Path of the sparse and dense index of a folder's API documents in the shared folder, built when first asked for."""
     from loomspark.sources.files import build_index, open_index
 
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/api-index-{uuid.uuid4().hex}"
+        docs = api_documents(spark, folder)
+        build_index(docs, path)
+        R.hashed_vectors(docs, *open_index(spark, path), "doc_id").write.parquet(f"{path}/vectors")
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def retrieved_apis(spark: SparkSession, folder: str, k: int = 10, deep: int = 50) -> DataFrame:
+    """(task_id, rank, score, doc_id, dll, api_name, text): the API documents of each task, by fusion of sparse and dense rankings from the stored index."""
+    from loomspark.sources.files import open_index
+
+    path = api_index(spark, folder)
     docs = api_documents(spark, folder)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/api-index-{uuid.uuid4().hex}"
-    build_index(docs, path)
     postings, stats = open_index(spark, path)
     queries = table(spark, folder, "task").groupBy(F.col("task_id").alias("query_id")).agg(F.max("requirement").alias("text"))
     sparse = R.bm25_from_index(queries, postings, stats, deep)
-    vectors = stored(R.hashed_vectors(docs, postings, stats, "doc_id"))
-    asked = stored(R.hashed_vectors(queries, postings, stats, "query_id").withColumnRenamed("query_id", "doc_id"))
-    dense = R.dense_top(asked, vectors, deep, key="doc_id").withColumnRenamed("other", "doc_id")
+    asked = R.hashed_vectors(queries, postings, stats, "query_id").withColumnRenamed("query_id", "doc_id")
+    dense = R.dense_top(asked, spark.read.parquet(f"{path}/vectors"), deep, key="doc_id").withColumnRenamed("other", "doc_id")
     fused = R.fuse(sparse, dense, ["query_id"], k, "doc_id")
     return fused.join(docs, "doc_id").select(F.col("query_id").alias("task_id"), F.col("rank").cast("int").alias("rank"), "score", "doc_id", "dll", "api_name", "text")
 

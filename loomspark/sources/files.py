@@ -131,6 +131,17 @@ def chat_logs(df: DataFrame) -> DataFrame:
     return df.select("step", "model", name.alias("file"), F.col("repair_id").alias("number"), lines_of(F.col("prompt")).alias("prompt"), lines_of(F.col("llm_response")).alias("response"))
 
 
+def lint_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, type, symbol, line) of lint reports in JSON lines or lists; what doesn't parse has its text in _corrupt_record."""
+    return spark.read.schema("path string, type string, symbol string, line int, _corrupt_record string").json(folder, recursiveFileLookup=True, pathGlobFilter="*.json")
+
+
+def lint_categories(reports: DataFrame) -> DataFrame:
+    """(type, issues, files): how often each category occurs and in how many files; unreadable rows count under 'unreadable'."""
+    kind = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").otherwise(F.coalesce("type", F.lit("unknown")))
+    return reports.groupBy(kind.alias("type")).agg(F.count("*").alias("issues"), F.countDistinct("path").alias("files"))
+
+
 def write_logs(df: DataFrame, folder: str) -> None:
     """Chat logs as YAML; partitions keep runs apart, so that names can't collide."""
     write_yaml(chat_logs(df), folder, "step", "model")

@@ -61,6 +61,13 @@ def test_sidecars_csv_logs(spark, tmp_path):
     assert [(r.event, r.tokens) for r in files.token_logs(spark, str(tmp_path / "log")).collect()] == [("Input Prompt", 12)]
 
 
+def test_lint_reports(spark, tmp_path):
+    rows = [{"path": "a.py", "type": "error", "symbol": "no-member", "line": 3}, {"path": "b.py", "type": "error", "symbol": "x", "line": 1}, {"path": "a.py", "type": None, "symbol": "y"}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)) + "\n{broken\n")
+    got = {r.type: (r.issues, r["files"]) for r in files.lint_categories(files.lint_reports(spark, str(tmp_path)).cache()).collect()}
+    assert got == {"error": (2, 2), "unknown": (1, 1), "unreadable": (1, 0)}
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id long, text string")
     files.build_index(docs, str(tmp_path / "ix"))
