@@ -49,6 +49,18 @@ class Transducer:
         self.next: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
         self.final: list[tuple[int, ...] | None] = [()]
 
+    def _restart(self, state: int) -> int:
+        """Empties the tables within a word; the state that it is in becomes one of the new ones."""
+        key = self.key[state]
+        self._reset()
+        if key in self.number:
+            return self.number[key]
+        self.number[key] = len(self.key)
+        self.key.append(key)
+        self.next.append({})
+        self.final.append(None)
+        return self.number[key]
+
     def merge(self, text: bytes) -> list[bytes]:
         """The merges in rank order; used on two adjoining tokens only, and as the check of the transducer."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -125,12 +137,14 @@ class Transducer:
 
     def word(self, piece: str) -> tuple[int, ...]:
         """One pre-token, read byte by byte from the start state."""
-        if len(self.key) > self.max_states:
-            self._reset()
         out: list[int] = []
         state = 0
         for byte in piece.encode("utf-8", "surrogatepass"):
-            step = self.next[state].get(byte) or self.transition(state, byte)
+            step = self.next[state].get(byte)
+            if step is None:
+                if len(self.key) >= self.max_states:
+                    state = self._restart(state)
+                step = self.transition(state, byte)
             if step[0]:
                 out += step[0]
             state = step[1]

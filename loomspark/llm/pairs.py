@@ -312,7 +312,7 @@ def templates(openings: DataFrame) -> DataFrame:
         yield made(found)
 
     distinct = cut(openings.select("opening").distinct().select(F.monotonically_increasing_id().alias("id"), "opening"))
-    spreaded = cut(distinct.mapInArrow(spread, "id bigint, shingle bigint"))
+    spreaded = distinct.mapInArrow(spread, "id bigint, shingle bigint")
     often = spreaded.groupBy("shingle").agg(F.count("*").alias("n"))
     orders = spreaded.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("keys"))
     form = "shingle bigint, opening string, keys array<bigint>, start int, need int"
@@ -323,7 +323,7 @@ def templates(openings: DataFrame) -> DataFrame:
             break
         met = cut(met.where("need > 0").join(heavy, "shingle", "left_semi").select(*names).mapInArrow(split, form).unionByName(met.where("need < 1").unionByName(met.where("need > 0").join(heavy, "shingle", "left_anti").select(*names))))
     found = cut(met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(compare, "opening string, head string").distinct())
-    both = cut(found.unionByName(found.select(F.col("head").alias("opening"), F.col("opening").alias("head"))))
+    both = found.unionByName(found.select(F.col("head").alias("opening"), F.col("opening").alias("head")))
     labels = distinct.select("opening", F.col("opening").alias("template"))
     while True:  # labels only get less, so this ends
         near = both.join(labels.withColumnRenamed("opening", "head"), "head").groupBy("opening").agg(F.min("template").alias("other"))

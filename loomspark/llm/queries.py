@@ -107,6 +107,16 @@ _SLUG = "nullif(trim(regexp_replace(lower(string_split(trim({0}, ' '), '/')[-1])
 #: SQL for those that SQL expresses on whole tables.
 ORACLES: dict[str, str] = {
     "p1_token_check": f"SELECT model, dll, count(*) AS records, 0::BIGINT AS different FROM (SELECT DISTINCT repair_id, coalesce({_SLUG.format('model')}, 'unknown') AS model, coalesce({_SLUG.format('dll')}, 'unknown') AS dll FROM repair_result) GROUP BY ALL",
+    "p7_items": f"""
+WITH t AS (SELECT task_id, {_W.format('requirement')} AS w FROM task),
+ tg AS (SELECT DISTINCT task_id, array_to_string(w[i:i + 14], ' ') AS g FROM (SELECT task_id, w, unnest(range(1, len(w) - 13)) AS i FROM t WHERE len(w) >= 15)),
+ d AS (SELECT doc_id, {_W.format('text')} AS w FROM documents),
+ dg AS (SELECT doc_id, i, array_to_string(w[i:i + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d WHERE len(w) >= 15)),
+ m AS (SELECT doc_id, task_id, i, i - row_number() OVER (PARTITION BY doc_id, task_id ORDER BY i) AS island FROM dg JOIN tg USING (g)),
+ r AS (SELECT doc_id, task_id, max(n) + 14 AS run_words FROM (SELECT doc_id, task_id, island, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL),
+ a AS (SELECT task_id, list_distinct(list_filter(list_transform(string_split_regex(max(code), '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 20)) AS lines FROM solution GROUP BY task_id),
+ x AS (SELECT r.*, coalesce(len(lines), 0) AS n, len(list_intersect(lines, list_transform(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')))) AS hits FROM r JOIN documents USING (doc_id) LEFT JOIN a USING (task_id))
+SELECT task_id, count(*) AS documents, max(run_words)::INT AS run_words, round(max(CASE WHEN n = 0 THEN 0 ELSE hits / n END), 6) AS answer_share FROM x GROUP BY task_id""",
     "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p7_found": f"""
 WITH t AS (SELECT task_id, {_W.format('requirement')} AS w FROM task),

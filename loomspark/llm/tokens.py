@@ -253,17 +253,16 @@ def update(records: DataFrame, state: State, fields: Sequence[str] = FIELDS, voc
     skip = None if known is None else spark.sparkContext.broadcast(known)
     made = cut(_distinct(_tidy(content_facts(records, fields, vocabulary, skip))))
     each = made.select(F.explode(F.array(*[F.struct(F.col(f"{f}_h").alias("hash"), F.col(f"{f}_n").alias("tokens")) for f in fields])).alias("x")).select("x.*").where("hash IS NOT NULL")
-    met = each.groupBy("hash").agg(F.max("tokens").alias("tokens"))
+    met = cut(each.groupBy("hash").agg(F.max("tokens").alias("tokens")))
     if known is None:
         fresh = met
     else:
-        met = cut(met)
         left = cut(met.where("tokens IS NULL").select("hash").join(have, "hash", "left_anti"))
         fresh = met.where("tokens IS NOT NULL")
         if (again := hash_filter(left)) is not None:
             more = missing_counts(records, spark.sparkContext.broadcast(again), fields, vocabulary)
             fresh = fresh.unionByName(more.groupBy("hash").agg(F.max("tokens").alias("tokens")).join(left, "hash", "left_semi"))
-    fresh = cut(fresh.join(have, "hash", "left_anti"))
+        fresh = cut(fresh.join(have, "hash", "left_anti"))
     counts = state.counts.unionByName(fresh.select(F.lit(name).alias("tokenizer"), "hash", "tokens"))
     facts = made.select("repair_id", *SLICE, *[f"{f}_h" for f in fields])
     changed = delta_cells(signed(state.facts, facts, fields), have.unionByName(fresh), fields)

@@ -47,6 +47,11 @@ def test_states_are_bounded():
     text = "several different words of a sentence, again and again: " * 3
     assert small.encode(text) == library().encode_ordinary(text)
     assert len(small.words) <= 5
+    import random
+
+    rng = random.Random(2)
+    word = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000))  # one pre-token of many states
+    assert small.encode(word) == library().encode_ordinary(word) and len(small.key) <= 52
 
 
 @settings(max_examples=200, deadline=None)
