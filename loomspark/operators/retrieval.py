@@ -109,6 +109,11 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weighed = cut(wanted.join(df, "term"))
     shards = max(1, math.ceil(queries.count() / QUERIES))
+    while shards > 1:  # by hash, so that the largest may be above the average
+        sizes = weighed.select("query_id").distinct().groupBy(F.expr(f"pmod(xxhash64(query_id), {shards})").alias("s")).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= 2 * QUERIES:
+            break
+        shards *= 2
     found = None
     for shard in range(shards):
         by_query: dict[str, list] = {}

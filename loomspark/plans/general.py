@@ -71,8 +71,12 @@ def general_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def general_approx_distinct(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct parts and the median by flag, exact and whether the sketches come near: within 15 per cent and 1."""
-    rows = table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey").alias("a"), F.percentile("l_quantity", 0.5).alias("median"), F.percentile_approx("l_quantity", 0.5).alias("m"))
-    return rows.select("l_returnflag", "parts", (F.abs(F.col("a") - F.col("parts")) <= 0.15 * F.col("parts")).alias("parts_near"), "median", (F.abs(F.col("m") - F.col("median")) <= 1).alias("median_near"))
+    rows = table(spark, folder, "lineitem")
+    near = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.percentile_approx("l_quantity", 0.5).alias("m"))
+    parts = rows.select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.count("l_partkey").alias("parts"))
+    median = rows.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n")).groupBy("l_returnflag").agg(F.expr("percentile(l_quantity, 0.5D, n)").alias("median"))
+    both = near.join(parts, "l_returnflag").join(median, "l_returnflag")
+    return both.select("l_returnflag", "parts", (F.abs(F.col("a") - F.col("parts")) <= 0.15 * F.col("parts")).alias("parts_near"), "median", (F.abs(F.col("m") - F.col("median")) <= 1).alias("median_near"))
 
 
 def general_stream_windows(spark: SparkSession, folder: str) -> DataFrame:

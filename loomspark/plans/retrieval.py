@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,11 @@ def api_index(spark: SparkSession, folder: str) -> str:
     from loomspark.sources.files import build_index, open_index
 
     key = (spark.sparkContext.applicationId, folder)
+    if key in _INDEXES:
+        try:
+            spark.read.parquet(f"{_INDEXES[key]}/vectors")
+        except AnalysisException:  # the shared folder was cleared
+            del _INDEXES[key]
     if key not in _INDEXES:
         path = f"{checkpoint_dir(spark).rstrip('/')}/api-index-{uuid.uuid4().hex}"
         docs = api_documents(spark, folder)
