@@ -40,11 +40,13 @@ REFUSING = 0.5
 #: looked up before the prompt's shingles are made.
 REPEATED, OWN, FIRST = 0.5, 4, 12
 
+#: Fixed patterns: how a prompt asks for a language, its name behind a preposition.
+_BEHIND = r"\b(?:in|into|auf|en)\s+(?:\w+\s+)?(?:{0})\b|[用以](?:{1})"
 _NAMES = {
-    "en": re.compile(r"\b(?:english|englisch\w*|inglés|inglesa?)\b|英文|英语", re.I),
-    "de": re.compile(r"\b(?:german|deutsch\w*|alemán|alemana)\b|德文|德语", re.I),
-    "es": re.compile(r"\b(?:spanish|spanisch\w*|español\w*|castellano)\b|西班牙", re.I),
-    "zh": re.compile(r"\b(?:chinese|chinesisch\w*|chino|china|mandarin)\b|中文|汉语", re.I),
+    "en": re.compile(_BEHIND.format(r"english|englisch\w*|inglés|inglesa?", "英文|英语"), re.I),
+    "de": re.compile(_BEHIND.format(r"german|deutsch\w*|alemán|alemana", "德文|德语"), re.I),
+    "es": re.compile(_BEHIND.format(r"spanish|spanisch\w*|español\w*|castellano", "西班牙"), re.I),
+    "zh": re.compile(_BEHIND.format(r"chinese|chinesisch\w*|chino|china|mandarin", "中文|汉语"), re.I),
 }
 _CODE_LINE = re.compile(r"^\s*(?:import |from \S+ import|def |class |return\b|@|#|[\w.\[\]\"' ]+\s*=[^=]|[\w.]+\(.*\)?[,;]?\s*$|[)\]}]+,?;?\s*$|[{\[]\s*$|\"[^\"]*\":|for .*:$|if .*:$|try:|except\b|with .*:$|else:)")
 

@@ -116,6 +116,8 @@ def test_pair_checks():
     assert pairs.is_copy("a b c d e f g h i j " * 50_000, "a b c d e f g h i j " * 50_000)
     de = f"Die Schicht passte nicht zu den Werten, die dort ankommen.\n{FENCE}python\nx = conv(8, 8)\n{FENCE}"
     assert pairs.wrong_language(PROMPT, de) and not pairs.wrong_language(PROMPT + " Please explain it in German.", de)
+    assert not pairs.wrong_language(PROMPT + " Write it in good German, please.", de) and not pairs.wrong_language(PROMPT + " 请用德文回答。", de)
+    assert pairs.wrong_language(PROMPT + " The German team wrote this program, and the log is German.", de)
     assert not pairs.wrong_language(PROMPT, f"{FENCE}python\nx = 1\n{FENCE}")
 
 
