@@ -31,7 +31,7 @@ from loomspark.session import cut
 #: Characters of a chunk, of which a task holds HELD of one file; chunks of a longer file are spread, GROUP to a node of the tree.
 CHUNK, HELD, GROUP = 1024, 1024, 64
 #: Entries of each cache of lines and statements.
-KEPT = 100_000
+KEPT = 50_000
 
 CODE, SINGLE, DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE = range(5)
 STATES = (CODE, SINGLE, DOUBLE, TRIPLE_SINGLE, TRIPLE_DOUBLE)
@@ -96,9 +96,19 @@ def combine(a: Summary, b: Summary) -> Summary:
 StateMap = tuple[Summary, ...]
 
 
+#: Maps and items that are equal are kept once; lines have few different ones.
+_SHARED: dict = {}
+
+
+def _shared(value):
+    if len(_SHARED) >= KEPT:
+        _SHARED.clear()
+    return _SHARED.setdefault(value, value)
+
+
 @lru_cache(KEPT)
 def _line_map(line: str) -> StateMap:
-    return tuple([summary(line, s) for s in STATES])
+    return _shared(tuple([summary(line, s) for s in STATES]))
 
 
 def line_map(line: str) -> StateMap:
@@ -327,7 +337,7 @@ def _item(statement: str) -> Item | None | tuple[()]:
         return ()
     text = plainly(text)
     move = _local(text) if len(text) < 500 else _local.__wrapped__(text)
-    return (column, narrow, move) if move else None
+    return _shared((column, narrow, move)) if move else None
 
 
 _item_kept = lru_cache(KEPT)(_item)
