@@ -122,24 +122,35 @@ def _holds(held: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).view(np.bool_)
 
 
-def _runs(texts: list[bytes], size: int = COUNTED) -> Iterator[np.ndarray]:
-    """The texts, each behind a gap, in arrays that stay in a processor's cache."""
-    held, n = [], 0
-    for t in texts:
-        held += (GAP, t)
-        n += len(t)
-        if n >= size:
-            yield np.frombuffer(b"".join(held), np.uint8)
-            held, n = [], 0
-    if held:
-        yield np.frombuffer(b"".join(held), np.uint8)
+def _runs(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, which of them are places): the texts in arrays that stay in a processor's cache.
+
+    A text begins behind a gap; a later piece of a long one behind the bytes before it, which aren't its places.
+    """
+    parts: list[bytes] = []
+    lengths: list[int] = []
 
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(lengths)) % 2 == 1, lengths)
 
-def occurrences(texts: list[bytes], group: int, held: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n = 0
+    for t in texts:
+        for at in range(0, len(t), size):
+            before, piece = t[at - len(GAP) : at] if at else GAP, t[at : at + size]
+            parts += (before, piece)
+            lengths += (len(before), len(piece))
+            n += len(piece)
+            if n >= size:
+                yield made()
+                parts, lengths, n = [], [], 0
+    if parts:
+        yield made()
+
+
+def occurrences(texts: list[bytes], group: int, held: np.ndarray, bits: int, size: int = COUNTED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(contexts, how often each occurs) by order, of those that pass the filter."""
     found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for data in _runs(texts):
-        inside = data != GAP[0]
+    for data, inside in _runs(texts, max(size, len(GAP))):
         for order, h in _rolling(data).items():
             at, mixed = None, _mixed(h, _order_seed(group, order))
             for place in _probes(mixed, bits):

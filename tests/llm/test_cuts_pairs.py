@@ -101,6 +101,25 @@ def test_scores_are_of_exact_counts(spark, monkeypatch, most):
     assert len(got) == len(want) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("size", [16, 40, 1 << 17])
+def test_occurrences_of_long_texts_in_pieces(size):
+    """Every context of every place, by a filter that holds all, however the texts are cut into runs."""
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abc", k=n)) for n in (0, 1, 15, 16, 17, 100, 333)]
+    want = {}
+    for t in texts:
+        padded = cuts.GAP + t
+        for order in cuts.ORDERS:
+            for i in range(len(cuts.GAP) + 1, len(padded) + 1):
+                want[padded[i - order : i]] = want.get(padded[i - order : i], 0) + 1
+    got = {}
+    for contexts, counts in cuts.occurrences(texts, 1, np.full(8, 255, np.uint8), 6, size):
+        got.update({bytes(c): int(n) for c, n in zip(contexts, counts)})
+    assert got == want
+
+
 PROMPT = f"You repair programs. The program below stops with an error; change as little as possible.\n\n{FENCE}python\nx = conv(8, 16)\ny = x + 1\nprint(y)\n{FENCE}\n\nTraceback: line 3, wants 8 gets 16. Please explain in a few sentences."
 
 
