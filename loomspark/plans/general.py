@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.operators.ranges import asof_join, range_join
+from loomspark.operators.ranges import asof_join, range_join, with_earlier
 from loomspark.sources.tables import table
 
 
@@ -27,8 +26,11 @@ def general_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def general_window_lag(spark: SparkSession, folder: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, folder, "events").select("event_id", F.lag("event_type").over(w).alias("before"), F.rank().over(w).alias("place"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 2).alias("last3"))
+    """Each event's place among its user's, the type of the one before it and the sum of its and the two values before."""
+    e = with_earlier(table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"], F.date_trunc("week", "ts"), ["event_type", "value"], 2)
+    given = F.filter(F.concat(F.array("value"), F.transform("_earlier", lambda x: x["value"])), lambda x: x.isNotNull())
+    total = F.when(F.size(given) > 0, F.round(F.aggregate(given, F.lit(0.0), lambda a, x: a + x), 2))
+    return e.select("event_id", F.try_element_at("_earlier", F.lit(1))["event_type"].alias("before"), F.col("_place").cast("int").alias("place"), total.alias("last3"))
 
 
 def general_set_ops(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +49,7 @@ def general_asof_join(spark: SparkSession, folder: str) -> DataFrame:
     """Each purchase with its user's latest view before or at it."""
     e = table(spark, folder, "events")
     view = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view"))
-    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), view, ["user_id"], "ts", "view", F.date_trunc("day", "ts")).select("event_id", F.col("asof_view").alias("view"))
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), view, ["user_id"], "ts", "view", F.date_trunc("week", "ts")).select("event_id", F.col("asof_view").alias("view"))
 
 
 def general_json_map(spark: SparkSession, folder: str) -> DataFrame:

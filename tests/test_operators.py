@@ -81,6 +81,21 @@ def test_asof_and_range(spark):
     assert {(r.p, r.r) for r in got.collect()} == {(p, r) for p, x in pts for r, lo, hi in rng if lo <= x < hi}
 
 
+def test_with_earlier_rows_over_buckets(spark):
+    from loomspark.operators.ranges import with_earlier
+
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 4 else rng.choice(["b", "c", None]), rng.randrange(30), rng.choice([None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, t int, v int").repartition(4)
+    for width in (1, 7, 100):
+        got = {r.id: (r._place, [(x.id, x.v) for x in r._earlier]) for r in with_earlier(df, ["k"], ["t", "id"], F.floor(F.col("t") / width), ["id", "v"], 3).collect()}
+        for k in ("hot", "b", "c", None):
+            own = sorted(((t, i, v) for i, kk, t, v in rows if kk == k), key=lambda r: r[:2])
+            for place, (_, i, _) in enumerate(own, 1):
+                assert got[i] == (place, [(j, v) for _, j, v in own[max(0, place - 4) : place - 1][::-1]])
+        assert len(got) == len(rows)
+
+
 def test_clean_comments():
     code = "import torch  # a\nclass N:\n    def forward(self, x):\n        # whole\n        s = '# no'  # gone\n        return x\n    def f(self):\n        return 1  # kept"
     got = trees.clean_comments(code, "PyTorch")
