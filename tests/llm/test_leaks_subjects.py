@@ -122,6 +122,37 @@ def test_thresholds_are_lowest_within_noise():
     assert S.lowest([], 3.0) is None and S.lowest(bad, 0.0) is None
 
 
+def test_thresholds_are_fitted_on_all_labelled_documents(spark):
+    """25,000 labelled documents in several ranges of scores and many batches, against the rule over all points at once."""
+    rng = random.Random(8)
+    scored, labels = [], []
+    for i in range(25_000):
+        for s, noise in (("Music", 0.3), ("law", 0.6)):
+            score = round(rng.random() * 2, rng.choice((3, 6)))
+            scored += [(i, s, score)] if rng.random() < 0.9 else []
+            labels += [(i, s.upper())] * 2 if score + rng.gauss(0, noise) > 1.0 else []
+        labels += [(i, " unknown ")]
+    scored += [(i, "law", 0.5) for i in range(25_000, 30_000)]  # not labelled
+    given, points, missed = {(i, s.strip().lower()) for i, s in labels}, {"music": [], "law": []}, dict.fromkeys(("music", "law"), 0)
+    for i, s, score in scored[:-5_000]:
+        points[s.lower()].append((score, float((i, s.lower()) in given)))
+    for s in points:
+        missed[s] = sum(x == s for _, x in given) - sum(y for _, y in points[s])
+    share = S.PRIOR / sum(s in points for _, s in given)
+    pooled = [(x, share, share * y) for rows in points.values() for x, y in rows]
+    expected = {s: S.lowest(pooled + [(x, 1.0, y) for x, y in points[s.lower()]], share * sum(missed.values()) + missed[s.lower()]) for s in ("Music", "law")}
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {c: spark.conf.get(c) for c in small}
+    try:
+        for c, v in small.items():
+            spark.conf.set(c, v)
+        got = S.thresholds(spark.createDataFrame(scored, "doc_id long, subject string, score double"), spark.createDataFrame(labels, "doc_id long, subject string"), ["Music", "law"])
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got.keys() == expected.keys() and all(abs(got[s] - expected[s]) < 1e-9 for s in got), (got, expected)
+
+
 def test_scores_weigh_rarity_and_length(spark):
     terms = (("common", (("a", 1.0),)), ("loose", (("b", 0.5),)), ("rare", (("a", 1.0),)))
     texts = ["common. common."] * 30 + ["rare. rare.", "rare. rare. " + "plain. " * 40, "loose. loose."]
